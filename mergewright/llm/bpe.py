@@ -3,10 +3,11 @@
 A token sequence is the BPE encoding of its bytes exactly if every two neighbours in it stay as they are when the two are encoded
 alone. So the encoding of every prefix is found from left to right: among the tokens that end at a byte, one and only
 one fits the encoding of the prefix before it. As a transducer: a hypothesis is a place in the trie of tokens (the bytes since
-a boundary), the last token before that boundary, and the tokens not yet emitted; reading a byte moves each hypothesis down
-the trie and, where a fitting token ends, adds the new boundary's. Tokens that all hypotheses share are emitted. A set of
-hypotheses is a state; states and moves are made when first met and kept (at most MAX_STATES; then the table starts
-anew, which changes no result). A token is at most as far behind as the longest token is long, so lookahead is bounded.
+a boundary) and the last token before that boundary; reading a byte moves each hypothesis down the trie and, where a
+fitting token ends, adds the new boundary's. A set of hypotheses is a state; states and moves are made when first met and kept (at
+most MAX_STATES; then the table starts anew, which changes no result). Tokens are emitted once all hypotheses of the state
+share them: at a piece's end, where one is left, and within long pieces every WINDOW bytes. No hypothesis is further
+behind than the longest token is long.
 
 Pieces (matches of the split pattern) are encoded separately; a piece that is a token as it stands is that token. Results by
 piece are kept in a table of bounded size, since pieces repeat.
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-MAX_STATES = 200_000
+MAX_STATES = 400_000
 MAX_PIECES = 400_000
+#: Bytes after which a piece is emitted in parts.
+WINDOW = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,10 +52,16 @@ def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
+    """States are numbered; a state is a tuple of hypotheses, each trie node * 2**20 + last token + 1. Moves are kept as state * 256 + byte
+    -> next state * 2**20 + token that ends the encoding of the prefix. The tokens emitted follow from those by stepping back."""
+
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("every byte must be a token")
+        if max(ranks.values()) >= (1 << 20) - 1:
+            raise ValueError("too many ranks")
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
+        self.length = {v: len(k) for k, v in ranks.items()}
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for raw, rank in ranks.items():
@@ -65,53 +74,77 @@ class Transducer:
                     self.token_at.append(-1)
                 node = down
             self.token_at[node] = rank
-        self.own: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, tuple | None] = {}
+        self.fits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        start = ((0, -1, ()),)
-        self.numbers, self.states, self.moves = {start: 0}, [start], [{}]
+        self.numbers, self.states, self.moves = {(0,): 0}, [(0,)], {}
+
+    def sides(self, token: int) -> tuple | None:
+        """What stands at a token's left and right end while it is merged, each as (bytes, rank of the merge that takes it up); None if
+        merging its bytes doesn't give it. The last flag: ranks rise along both, as those of trained merges do."""
+        if token not in self.edges:
+            raw = self.bytes_of[token]
+            parts = [raw[i : i + 1] for i in range(len(raw))]
+            left, right, rises, least = [], [], True, -1
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 60:
+                    break
+                rises &= rank >= least
+                least = rank
+                if at == 0:
+                    left.append((parts[0], rank))
+                if at == len(parts) - 2:
+                    right.append((parts[-1], rank))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            whole = [(raw, 1 << 60)]
+            self.edges[token] = (left + whole, right + whole, rises) if len(parts) == 1 else None
+        return self.edges[token]
 
     def fit(self, last: int, token: int) -> bool:
-        """Whether a token can follow another in an encoding."""
-        key = (last, token)
+        """Whether a token can follow another (or, -1, the start) in an encoding: no merge across the boundary comes before
+        the merges that take up its two sides, and of equal ranks the leftmost merge comes first."""
+        key = (last + 1) << 20 | token
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) > 2 * MAX_STATES:
                 self.fits.clear()
-            if last < 0:
-                known = merge(self.bytes_of[token], self.ranks) == [token]
+            b = self.sides(token)
+            if b is None:
+                known = False
+            elif last < 0:
+                known = True
             else:
-                known = self.fit(-1, token) and merge(self.bytes_of[last] + self.bytes_of[token], self.ranks) == [last, token]
+                a, ranks = self.sides(last), self.ranks
+                if a[2] and b[2]:
+                    known = not any((r := ranks.get(x + y)) is not None and r < p and r <= q for x, p in a[1] for y, q in b[0])
+                else:
+                    known = merge(self.bytes_of[last] + self.bytes_of[token], ranks) == [last, token]
             self.fits[key] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens emitted, made when first asked for."""
-        kept, new = [], None
-        for node, last, late in self.states[state]:
-            down = self.trie[node].get(byte)
+    def move(self, state: int, byte: int) -> int:
+        """The next state and the token ending here, made when first asked for."""
+        kept, new, trie, token_at = [], -1, self.trie, self.token_at
+        for h in self.states[state]:
+            down = trie[h >> 20].get(byte)
             if down is None:
                 continue
-            token = self.token_at[down]
-            if self.trie[down]:
-                kept.append((down, last, late))
-            if token >= 0 and new is None and self.fit(last, token):
-                new = (0, token, (*late, token))
-        if new is None:
+            last = (h & 0xFFFFF) - 1
+            if new < 0 and (token := token_at[down]) >= 0 and self.fit(last, token):
+                new = token
+            if trie[down]:
+                kept.append(down << 20 | last + 1)
+        if new < 0:
             raise ValueError("the ranks are not those of a byte-level BPE")
-        kept.append(new)
-        lates = [x[2] for x in kept]
-        n = 0
-        while all(len(x) > n and x[n] == lates[0][n] for x in lates):
-            n += 1
-        out, to = new[2][:n], tuple((a, b, c[n:]) for a, b, c in kept)
+        kept.append(new + 1)
+        to = tuple(kept)
         number = self.numbers.get(to)
         if number is None:
             number = self.numbers[to] = len(self.states)
             self.states.append(to)
-            self.moves.append({})
-        self.moves[state][byte] = found = (number, out)
+        found = self.moves[state << 8 | byte] = number << 20 | new
         return found
 
     def encode(self, raw: bytes) -> tuple[int, ...]:
@@ -120,31 +153,69 @@ class Transducer:
             return (whole,)
         if len(self.states) > MAX_STATES:
             self.forget()
-        state, out, moves = 0, [], self.moves
+        if len(raw) > WINDOW:
+            return tuple(self.stream(raw))
+        state, ends, moves = 0, [], self.moves.get
+        for b in raw:
+            got = moves(state << 8 | b)
+            if got is None:
+                got = self.move(state, b)
+            state = got >> 20
+            ends.append(got & 0xFFFFF)
+        return self.back(ends, len(ends))
+
+    def back(self, ends: list[int], at: int) -> tuple[int, ...]:
+        """The encoding of the first `at` bytes."""
+        out, length = [], self.length
+        while at > 0:
+            out.append(token := ends[at - 1])
+            at -= length[token]
+        return tuple(out[::-1])
+
+    def stream(self, raw):
+        """Yields tokens as bytes come, holding back only those that the live hypotheses don't share."""
+        state, ends = 0, []
         for b in raw:
-            got = moves[state].get(b) or self.move(state, b)
-            state = got[0]
-            if got[1]:
-                out += got[1]
-        out += self.states[state][-1][2]
-        return tuple(out)
+            got = self.moves.get(state << 8 | b)
+            if got is None:
+                got = self.move(state, b)
+            state = got >> 20
+            ends.append(got & 0xFFFFF)
+            if len(ends) >= WINDOW:
+                depth = {len(ends) - k for k in self.open_bytes(state, ends)}
+                paths = [self.back(ends, at) for at in sorted(depth)]
+                n = 0
+                while all(len(p) > n and p[n] == paths[0][n] for p in paths):
+                    n += 1
+                yield from paths[0][:n]
+                del ends[: sum(self.length[t] for t in paths[0][:n])]
+        yield from self.back(ends, len(ends))
+
+    def open_bytes(self, state: int, ends: list[int]) -> list[int]:
+        """How many bytes each live hypothesis has read since its boundary; they stand in the state from the most to the fewest."""
+        if not hasattr(self, "depths"):
+            self.depths = [0] * len(self.trie)
+            for node, downs in enumerate(self.trie):
+                for down in downs.values():
+                    self.depths[down] = self.depths[node] + 1
+        return [self.depths[h >> 20] for h in self.states[state]]
 
 
 class Encoder:
-    """Texts to tokens, with the table of pieces."""
+    """Texts to tokens, with the table of pieces, whose older half goes when it is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.find, self.known = Transducer(ranks), regex.compile(pattern).findall, {}
+        self.fst, self.find, self.known, self.older = Transducer(ranks), regex.compile(pattern).findall, {}, {}
 
     def __call__(self, text: str) -> list[int]:
         known, out = self.known, []
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) > MAX_PIECES:
-                    known.clear()
-                ids = self.fst.encode(piece.encode())
+                ids = self.older.get(piece) or self.fst.encode(piece.encode())
                 if len(piece) <= 64:
+                    if len(known) >= MAX_PIECES // 2:
+                        self.older, self.known = known, (known := {})
                     known[piece] = ids
             out += ids
         return out
