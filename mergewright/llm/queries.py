@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, sharding
+from . import bpe, media, mixing, neardup, secrets, sharding
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op4_neardup": neardup.query,
+    "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
     "op9_media": media.query,
     "op10_bpe": bpe.query,
