@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neardup, secrets, sharding
+from . import bpe, media, mixing, neardup, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op4_neardup": neardup.query,
     "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
+    "op7_toxicity": toxicity.query,
+    "op8_quality": quality.query,
     "op9_media": media.query,
     "op10_bpe": bpe.query,
 }
