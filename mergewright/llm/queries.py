@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neardup, quality, secrets, sharding, toxicity
+from . import bpe, media, mixing, neardup, quality, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op3_topk": topk.query,
     "op4_neardup": neardup.query,
     "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_media": media.query,
     "op10_bpe": bpe.query,
 }
-ORACLES = {"op1_sharding": sharding.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES = {"op1_sharding": sharding.ORACLE, "op3_topk": topk.ORACLE, "op6_mixing": mixing.ORACLE}
