@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neardup, quality, secrets, sharding, topk, toxicity
+from . import bpe, media, mixing, neardup, quality, repeats, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_repeats": repeats.query,
     "op3_topk": topk.query,
     "op4_neardup": neardup.query,
     "op5_secrets": secrets.query,
