@@ -2,7 +2,7 @@
 
 Words (runs of letters and digits, and runs of signs, by case) fall into BUCKETS by hash. Each bucket has a sparse random index
 vector; its word vector is the sum of the index vectors of its neighbours (WINDOW each way) over the whole corpus, brought to unit length, plus
-its own index vector. A document is the mean and the deviation of its words' vectors. Every partition adds up its own neighbours; the sums by
+its own index vector. A document is the mean and the deviation of its words' vectors, short ones drawn towards the average. Every partition adds up its own neighbours; the sums by
 bucket are a plain aggregation, and what the driver gets is the table of vectors, whose size is fixed.
 
 The network is fitted on a bounded sample of labelled rows (ROWS of each class), and its temperature on a fifth of them kept aside.
@@ -28,6 +28,7 @@ CUT = 0.7
 ROWS = 6000
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 48, 2, 2
 HIDDEN = 24
+PRIOR = 10
 
 #: 0: white space, 1: letter, digit or part of a longer character, 2: sign.
 KIND = np.array([0 if i <= 32 else 1 if i >= 128 or chr(i).isalnum() else 2 for i in range(256)], np.uint8)
@@ -97,26 +98,33 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """Mean and deviation of the word vectors of each text."""
+    """Mean and variance of the word vectors of each text, and its number of words."""
     b, of = tokens(texts)
-    out = np.zeros((len(texts), 2 * DIM))
+    out = np.zeros((len(texts), 2 * DIM + 1))
     bounds = np.searchsorted(of, np.arange(len(texts) + 1))
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         if hi > lo:
             v = vectors[b[lo:hi]]
-            out[i, :DIM], out[i, DIM:] = v.mean(0), v.std(0)
+            out[i, :DIM], out[i, DIM:-1], out[i, -1] = v.mean(0), v.var(0), hi - lo
     return out
 
 
 class Network:
-    """Standardised input, one hidden layer of rectified units, one output over a temperature."""
+    """Pooled vectors, drawn towards the sample's mean as if PRIOR average words stood in every text, and standardised; one hidden layer of
+    rectified units; one output over a temperature."""
 
-    def __init__(self, n: int, seed: int = 3):
+    def __init__(self, n: int = 2 * DIM, seed: int = 3):
         r = np.random.default_rng(seed)
         self.w = [r.normal(0, (2 / n) ** 0.5, (n, HIDDEN)), np.zeros(HIDDEN), r.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), np.zeros(1)]
-        self.mean, self.scale, self.temperature, self.constant = np.zeros(n), np.ones(n), 1.0, None
+        self.mean, self.scale, self.temperature, self.constant, self.prior = np.zeros(n), np.ones(n), 1.0, None, np.zeros(n)
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        n = x[:, -1:]
+        drawn = (x[:, :-1] * n + PRIOR * self.prior) / (n + PRIOR)
+        return np.concatenate([drawn[:, :DIM], np.sqrt(drawn[:, DIM:])], 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
+        x = self.inputs(x)
         h = np.maximum(((x - self.mean) / self.scale) @ self.w[0] + self.w[1], 0)
         return h @ self.w[2] + self.w[3]
 
@@ -126,6 +134,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 1500, rate: float = 0.01, decay: float = 1e-3, seed: int = 5) -> Network:
+        self.prior = x[:, :-1].mean(0)
+        x = self.inputs(x)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         x = (x - self.mean) / self.scale
         r, m, v = np.random.default_rng(seed), [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w]
@@ -160,7 +170,7 @@ def train(rows: DataFrame, vectors: np.ndarray, shares: dict[int, float] | None
             yield pa.record_batch([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     got = rows.selectExpr("cast(doc_id as bigint) doc_id", "text", "cast(y as int) y").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
-    net = Network(2 * DIM)
+    net = Network()
     if got.y.nunique() < 2:
         net.constant = 0.5 if got.empty else float(got.y.iloc[0])
         return net

@@ -5,7 +5,7 @@ whole words and word beginnings with weights, matched by an Aho-Corasick automat
 The score is logistic in the weight found and in the weight per word, both damped, so that length is normalised.
 
 Learning, from a bounded sample of labelled rows (TOXIC_ROWS, CLEAN_ROWS): candidates are words and beginnings whose log odds of
-documents, near copies sharing one vote, favour label 1 enough; then entries are taken greedily by their weight among
+documents, near copies sharing one vote, favour label 1 enough (more so if it occurs in clean ones at all); then entries are taken greedily by their weight among
 documents not yet well covered. Exceptions are the neighbours (one word before or after) with which an entry occurs in clean documents only.
 
 Defined results: null and empty texts get the score of no match; without labels of both classes the lexicon is empty and every score is
@@ -33,7 +33,7 @@ from .shingles import shingle_sets
 PARTS, HELD = 5, 0
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 PREFIXES = (3, 4, 5, 6)
-MIN_ODDS = 2.5
+MIN_ODDS, SURE_ODDS = 3.5, 5.0
 MIN_VOTES = 2.5
 DECAY = 0.6
 CANDIDATES, ENTRIES = 2000, 400
@@ -137,7 +137,7 @@ def learn(rows: DataFrame) -> Lexicon:
     p, n = F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0))
     stats = own.select("y", "w", F.explode("terms").alias("term")).groupBy("term").agg(p.alias("p"), n.alias("n")).where(F.col("p") >= MIN_VOTES)
     odds = F.log((F.col("p") + 0.5) / (sums[1] + 1.0)) - F.log((F.col("n") + 0.5) / (sums[0] + 1.0))
-    stats = stats.withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy((F.col("p") * F.col("odds")).desc(), "term").limit(CANDIDATES)
+    stats = stats.withColumn("odds", odds).where((F.col("odds") >= MIN_ODDS) & ((F.col("n") < 1) | (F.col("odds") >= SURE_ODDS))).orderBy((F.col("p") * F.col("odds")).desc(), "term").limit(CANDIDATES)
     weight = {r.term: r.odds for r in stats.collect()}
     if not weight:
         return Lexicon({}, bias=math.log(sums[1] / sums[0]))
@@ -157,6 +157,7 @@ def learn(rows: DataFrame) -> Lexicon:
         best = int(np.argmax(gain))
         if gain[best] <= 0:
             break
+        best = int(np.flatnonzero(gain >= 0.98 * gain[best])[-1])  # of those about as good, the longest
         taken.append(names[best])
         left[table[:, best]] *= DECAY
     return calibrate(rows, Lexicon({t: float(weight[t]) for t in taken}))
