@@ -9,8 +9,9 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from .phonetic import metaphone_tr, soundex_tr
+from .phonetic import GROUPS
 from .text import LOWER_ASCII, TURKISH, digits, name_form, text
 
 _TABLE = str.maketrans(TURKISH, LOWER_ASCII)
@@ -178,21 +179,21 @@ def phone(a: str, b: str) -> float:
     return round(SequenceMatcher(None, x, y).ratio() * 0.7, 4)
 
 
-def _udf(f, kind: str):
+def _udf(f, kind):
     @F.pandas_udf(kind)
     def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype={"double": "float64", "boolean": "bool"}[kind])
+        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="bool" if kind == BooleanType() else "float64")
 
     return over
 
 
-jaro_winkler_tr = _udf(jaro_winkler, "double")
-hybrid_name_sim = _udf(hybrid, "double")
-token_name_sim = _udf(words, "double")
-difflib_ratio = _udf(ratio, "double")
-email_sim = _udf(email, "double")
-phone_sim = _udf(phone, "double")
-same_surname_conflict = _udf(surname_conflict, "boolean")
+jaro_winkler_tr = _udf(jaro_winkler, DoubleType())
+hybrid_name_sim = _udf(hybrid, DoubleType())
+token_name_sim = _udf(words, DoubleType())
+difflib_ratio = _udf(ratio, DoubleType())
+email_sim = _udf(email, DoubleType())
+phone_sim = _udf(phone, DoubleType())
+same_surname_conflict = _udf(surname_conflict, BooleanType())
 
 
 def levenshtein_sim(a, b) -> Column:
@@ -218,14 +219,13 @@ def register(spark: SparkSession) -> None:
     """Makes the functions known to SQL."""
     for name, f in (("jaro_winkler_tr", jaro_winkler_tr), ("hybrid_name_sim", hybrid_name_sim), ("token_name_sim", token_name_sim), ("difflib_ratio", difflib_ratio), ("email_sim", email_sim), ("phone_sim", phone_sim), ("same_surname_conflict", same_surname_conflict)):
         spark.udf.register(name, f)
-    for name, f in (("soundex_tr", soundex_tr), ("metaphone_tr", metaphone_tr)):
+    for name in ("soundex_tr", "metaphone_tr"):
         spark.udf.register(name, _single(name))
-        del f
 
 
 def _single(name: str):
     """For SQL only: the phonetic keys over Arrow batches; DataFrame code has them as column expressions."""
-    codes = {c: d for d, ls in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in ls}
+    codes = {c: d for d, ls in GROUPS.items() for c in ls}
 
     def soundex(s: str | None) -> str:
         t = plain(s).replace(" ", "")
@@ -238,7 +238,7 @@ def _single(name: str):
 
     own = soundex if name == "soundex_tr" else metaphone
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def over(a: pd.Series) -> pd.Series:
         return a.map(own)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions import similarity as S
 from ..functions.text import digits, surname_or_only, text, tokens
@@ -16,7 +17,10 @@ COLUMNS = ["clean_name", "clean_name_ordered", "clean_tc", "clean_phone", "clean
 SCORES = ["first_name_similarity", "surname_similarity", "first_name_jaro_winkler", "surname_jaro_winkler", "name_token_similarity", "name_similarity", "name_levenshtein_similarity", "phone_similarity", "email_similarity", "email_username_similarity", "address_similarity"]
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in SCORES) + ", surname_conflict boolean")
+_KIND = StructType([*(StructField(n, DoubleType()) for n in SCORES), StructField("surname_conflict", BooleanType())])
+
+
+@F.pandas_udf(_KIND)
 def _rules_scores(v: pd.DataFrame) -> pd.DataFrame:
     out = []
     for lo, ro, ln, rn, lp, rp, le, re_, la, ra in v.itertuples(index=False):
@@ -26,7 +30,7 @@ def _rules_scores(v: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in SCORES) + ", surname_conflict boolean")
+@F.pandas_udf(_KIND)
 def _linkage_scores(v: pd.DataFrame) -> pd.DataFrame:
     out = []
     for lo, ro, ln, rn, lp, rp, le, re_, lk, rk, lf, rf, ls, rs in v.itertuples(index=False):
@@ -36,7 +40,7 @@ def _linkage_scores(v: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in SCORES) + ", surname_conflict boolean")
+@F.pandas_udf(_KIND)
 def _review_scores(v: pd.DataFrame) -> pd.DataFrame:
     out = []
     for lo, ro, ln, rn, lp, rp, le, re_, lf, rf, ls, rs in v.itertuples(index=False):

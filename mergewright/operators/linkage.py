@@ -1,7 +1,7 @@
 """A Fellegi and Sunter model: levels of agreement by field, expectation and maximisation over patterns of levels, match probabilities.
 
 u comes from random pairs, the share of matches from deterministic rules, m from passes of EM, each on the pairs of one blocking key with that key's
-own field left out. EM runs on the table of level patterns and their counts, whose size is bounded by the levels, not on pairs."""
+own field left out; a field's m is the mean of what the passes say. EM runs on the table of level patterns and their counts, whose size is bounded by the levels, not on pairs."""
 
 from __future__ import annotations
 
@@ -35,16 +35,20 @@ def _winkler(a: str, b: str) -> float:
     return j + same * 0.1 * (1.0 - j) if j > 0.7 else j
 
 
+def _level_udf(cuts: tuple[float, ...]):
+    @F.pandas_udf("int")
+    def over(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sum(_winkler(x, y) >= t for t in cuts) for x, y in zip(a, b)], dtype="int32")
+
+    return over
+
+
 def levels(pairs_: DataFrame, comparisons=COMPARISONS) -> DataFrame:
     """Adds g_<field>: -1 a side is missing, 0 different, up to the highest for equal."""
     fuzzy = [(f, c, t) for f, c, t in comparisons if t]
     out = pairs_
     for f, c, cuts in fuzzy:
-
-        @F.pandas_udf("int")
-        def over(a: pd.Series, b: pd.Series, cuts=tuple(sorted(cuts))) -> pd.Series:
-            return pd.Series([sum(_winkler(x, y) >= t for t in cuts) for x, y in zip(a, b)], dtype="int32")
-
+        over = _level_udf(cuts)
         told = out.where(both(c) & (F.col(f"left_{c}") != F.col(f"right_{c}"))).select(f"left_{c}", f"right_{c}").distinct().withColumn(f"_l_{f}", over(f"left_{c}", f"right_{c}"))
         out = out.join(told, [f"left_{c}", f"right_{c}"], "left")
     done = {}
@@ -97,19 +101,23 @@ def _shares(counts: pd.DataFrame, f: str, weight, k: int) -> list[float]:
     return [(weight[known & (counts[f"g_{f}"] == g)].sum() + 1e-6) / (total + 1e-6 * k) for g in range(k)]
 
 
-def em(counts: pd.DataFrame, model: Model, free: list[str], steps: int = EM_STEPS) -> Model:
-    """counts: g_ columns and n. Re-estimates m of the free fields; a pattern's other fields are left out of its weight."""
-    share = 0.5
+def em(counts: pd.DataFrame, model: Model, free: list[str], closed: list[str], steps: int = EM_STEPS) -> dict[str, list[float]]:
+    """counts: g_ columns and n, of pairs that agree on the closed fields. m of the free fields as this block has it; the block's share of matches starts
+    from the prior and what agreement on the closed fields is worth."""
+    m = {f: list(model.m[f]) for f in free}
+    odds = model.prior / (1 - model.prior)
+    for f in closed:
+        odds *= model.m[f][-1] / max(model.u[f][-1], 1e-9)
+    share = min(0.99, max(1e-4, odds / (1 + odds)))
     for _ in range(steps):
         w = pd.Series(math.log(share / (1 - share)), index=counts.index)
         for f in free:
-            ratio = [math.log(max(a, 1e-9) / max(b, 1e-9)) for a, b in zip(model.m[f], model.u[f])]
+            ratio = [math.log(max(x, 1e-9) / max(y, 1e-9)) for x, y in zip(m[f], model.u[f])]
             w += counts[f"g_{f}"].map(lambda g, r=ratio: r[g] if g >= 0 else 0.0)
         p = 1 / (1 + (-w.clip(-50, 50)).map(math.exp))
         share = min(1 - 1e-6, max(1e-6, float((p * counts.n).sum() / counts.n.sum())))
-        for f in free:
-            model.m[f] = _shares(counts, f, p * counts.n, len(model.m[f]))
-    return model
+        m = {f: _shares(counts, f, p * counts.n, len(m[f])) for f in free}
+    return m
 
 
 def random_pairs(records: DataFrame, n: int = U_PAIRS, seed: int = 42) -> DataFrame:
@@ -138,20 +146,26 @@ def prior(records: DataFrame, recall: float = RECALL) -> float:
 def train(records: DataFrame, comparisons=COMPARISONS, seed: int = 42) -> Model:
     model = Model.default(comparisons)
     model.prior = prior(records)
+    records = cut(records, "records")
     by = lambda found: patterns(levels(pair_frame(found, records), comparisons), comparisons).toPandas()
     counts = by(random_pairs(records, U_PAIRS, seed))
     if len(counts):
         for f, _, _ in comparisons:
             model.u[f] = _shares(counts, f, counts.n.astype(float), len(model.u[f]))
-    for key, closed in (("clean_tc", {"tc"}), ("name_phonetic_key", {"phonetic", "name"})):
+    told: dict[str, list[list[float]]] = {}
+    for key, closed in (("clean_tc", ["tc"]), ("name_phonetic_key", ["phonetic", "name"])):
         counts = by(column_pairs(records, key).select("left_id", "right_id"))
         if len(counts):
-            model = em(counts, model, [f for f, _, _ in comparisons if f not in closed])
+            for f, m in em(counts, model, [f for f, _, _ in comparisons if f not in closed], closed[:1]).items():
+                told.setdefault(f, []).append(m)
+    for f, found in told.items():
+        model.m[f] = [sum(x) / len(found) for x in zip(*found)]
     return model
 
 
 def predict(records: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, passes=LINKAGE_PASSES, weights=None) -> DataFrame:
     """Candidates at or above the threshold, and those below that share tc, phone or e-mail key; conflicts are capped. Surest first where it matters: see ordered."""
+    records = cut(records, "records")
     model = train(records) if model is None else model
     found = pairs(records, passes)
     flat = cut(levels(pair_frame(found, records)), "levels")

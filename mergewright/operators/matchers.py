@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def city_rules(records: DataFrame, min_rules: int = 2, threshold: float = NAME_T
 
 
 def _with_name(df: DataFrame, a: str, b: str, score, name: str, threshold: float) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("int")
     def over(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([int(score(p or "", q or "") >= threshold) for p, q in zip(x, y)], dtype="int32")

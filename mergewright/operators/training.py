@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import Features, weak_label
+from ..plans.tables import cut
 from .features import pair_frame, rules_features
 from .review import latest_reviews
 
@@ -133,6 +134,7 @@ def train_forest(df: DataFrame, columns: list[str] | None = None, trees: int = 2
     own = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns]
     rows = split(df.select("left_id", "right_id", F.col("label").cast("int").alias("label"), *own))
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, total / (2.0 * counts[1])).otherwise(total / (2.0 * counts[0])))
+    rows = cut(rows, "training")
     forest = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", labelCol="label", featuresCol="v", maxDepth=10)
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="v"), forest]).fit(rows.where("not is_test"))
     told = classification_metrics(predict(model, rows.where("is_test")).withColumn("predicted", (F.col("ml_probability") >= 0.5).cast("int"))).head().asDict()
