@@ -46,7 +46,7 @@ HOMOGLYPHS = str.maketrans({
 #: Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _LOOKALIKE = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "Ａ-ｚ]")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!]+(?=[^\W_])[^\W_@$!0-9]*[\w@$!]*|(?<!\w)[0-9@$]{1,2}(?=[^\W\d_]{2})[\w@$!]*")
+_MIXED = re.compile(r"[^\W\d_]+[0-9@$!]+(?=[^\W_])(?:[\w@$]|!(?=\w))*|(?<!\w)[0-9@$]{1,2}(?=[^\W\d_]{2})(?:[\w@$]|!(?=\w))*")
 _GAP = re.compile(r"[\W_]+")
 
 
