@@ -5,8 +5,9 @@ samples of the similarity. Values are banded, rows per band as many as leave a p
 no band. Documents with the same set are one class from the start, found by a digest of the set.
 
 Inside a bucket no pairs are emitted at large. First every member is paired with the bucket's smallest and largest member (two aggregates and a join);
-confirmed pairs give components. Then only members of different components are compared, on sizes and on a 128-bit sketch of
-their signatures (a bound 6 standard deviations wide, so it loses nothing), and what passes is confirmed as well. A link that isn't checked is one inside a component.
+confirmed pairs give components. Then only members of different components are compared, block by block of a bucket, on sizes and on a 128-bit
+sketch of their signatures (a bound 6 standard deviations wide, so it loses nothing), each pair in the first bucket it shares, and what passes is confirmed
+on its sets; out come edges that join components. A link that isn't checked is one inside a component.
 
 Defined results: null, empty and wordless texts have 0 shingles and are linked with nothing; rows with a null id are linked with nothing
 and have a null component; rows that share an id are one node with the union of their links; equal texts are linked; an empty table gives no
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +118,91 @@ def confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+MEMBERS, SHINGLES = 1024, 500_000
+SIGN = ["doc_id", "n_shingles", "bands", "s1", "s2", "root"]
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, ...) -> one for each pair of blocks (i <= j) of its bucket that a row takes part in. A block has about MEMBERS rows and SHINGLES shingles at most."""
+    size = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int")
+    parts = rows.groupBy("bucket").agg(size.alias("parts"))
+    out = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return out.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+
+
+def near_pairs(pdf: pd.DataFrame, percent: int):
+    """Row numbers (x, y) and distances, nearest first, of a block pair's pairs in different components whose sizes and sketches allow the
+    threshold, each pair only in the first bucket that it shares."""
+    equal = (1 + percent / 100) / 2
+    most = int(128 * (1 - equal + 6 * (equal * (1 - equal) / 128) ** 0.5))
+    n, root, part = pdf.n_shingles.to_numpy(), pdf.root.to_numpy(), pdf.part.to_numpy()
+    s1, s2 = pdf.s1.to_numpy().view(np.uint64), pdf.s2.to_numpy().view(np.uint64)
+    table = np.stack(pdf.bands.to_numpy())
+    same_block = pdf.i.iloc[0] == pdf.j.iloc[0]
+    bucket, found = pdf.bucket.iloc[0], []
+    for lo in range(0, len(pdf), 256):
+        hi = min(lo + 256, len(pdf))
+        far = np.bitwise_count(s1[lo:hi, None] ^ s1).astype(np.int16) + np.bitwise_count(s2[lo:hi, None] ^ s2)
+        ok = (far <= most) & (root[lo:hi, None] != root) & (np.arange(lo, hi)[:, None] < np.arange(len(pdf)))
+        ok &= 100 * np.minimum(n[lo:hi, None], n) >= percent * np.maximum(n[lo:hi, None], n)
+        if not same_block:
+            ok &= part[lo:hi, None] != part
+        x, y = np.nonzero(ok)
+        for c in range(0, len(x), 1 << 16):
+            p, q = x[c : c + (1 << 16)] + lo, y[c : c + (1 << 16)]
+            here = table[p, np.argmax(table[p] == table[q], axis=1)] == bucket
+            found.append((p[here], q[here], far[x[c : c + (1 << 16)], q][here]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int)
+    x, y, d = (np.concatenate(z) for z in zip(*found))
+    order = np.argsort(d, kind="stable")
+    return x[order], y[order]
+
+
+def confirm_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges that join the components of a block pair's rows as all its links would."""
+    x, y = near_pairs(pdf, percent)
+    roots = pdf.root.to_numpy()
+    up = {r: r for r in roots}
+
+    def top(r):
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    held: dict[int, set] = {}
+    ids, shingles, out = pdf.doc_id.to_numpy(), pdf.shingles.to_numpy(), []
+    for p, q in zip(x.tolist(), y.tolist()):
+        a, b = top(roots[p]), top(roots[q])
+        if a == b:
+            continue
+        for k in (p, q):
+            if k not in held:
+                held[k] = set(shingles[k].tolist())
+        common = len(held[p] & held[q])
+        if 100 * common >= percent * (len(held[p]) + len(held[q]) - common):
+            up[max(a, b)] = min(a, b)
+            out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def across(members: DataFrame, root: DataFrame, signs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket in different components. Their number may grow with a bucket's square, so blocks of a bucket meet in Python and only
+    edges that join components come out; sets are sent for members only that have a partner to be checked."""
+    known = members.select("bucket", "doc_id").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
+    left = cut(known.join(mixed, "bucket", "left_semi").join(signs, "doc_id").select("bucket", *SIGN), "mixed")
+
+    def flagged(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = near_pairs(pdf, percent)
+        return pdf.iloc[np.union1d(x, y).astype(int)][["bucket", "doc_id"]]
+
+    some = cut(blocked(left).groupBy("bucket", "i", "j").applyInPandas(flagged, "bucket long, doc_id long").distinct(), "flagged")
+    rows = left.join(some, ["bucket", "doc_id"], "left_semi").join(own.withColumnRenamed("id", "doc_id"), "doc_id")
+    return blocked(rows).groupBy("bucket", "i", "j").applyInPandas(lambda pdf: confirm_pairs(pdf, percent), "a long, b long").distinct()
+
+
 def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and edges (a, b) that connect exactly the documents that links at the threshold connect."""
     threshold = percent / 100
@@ -123,8 +210,8 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     known = one.where("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = known.join(classes.select(F.col("set_key").alias("key2"), F.col("rep")), (F.col("set_key") == F.col("key2")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    reps = reps.dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "s1", "s2", F.explode("bands").alias("bucket"))
-    reps = cut(reps, "bands")
+    signs = cut(reps.dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands", "s1", "s2"), "signs")
+    reps = signs.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = reps.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     members = cut(reps.join(buckets, "bucket"), "members")
     stars = members.select(F.col("doc_id"), F.explode(F.array("lo", "hi")).alias("c"))
@@ -135,17 +222,7 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     own = cut(sets(text, k), "sets")
     first = cut(confirm(stars, own, percent).distinct(), "first")
     root = connected_components(first, "a", "b", cut)
-    known2 = members.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = known2.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-    left = cut(known2.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "n_shingles", "s1", "s2", "root"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    equal = (1 + threshold) / 2
-    most = int(128 * (1 - equal + 6 * (equal * (1 - equal) / 128) ** 0.5))
-    far = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & (far <= most)
-    across = across & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-    rest = x.join(y, across).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = confirm(cut(rest, "rest"), own, percent).distinct()
+    second = across(members, root, signs, own, percent)
     copies = known.join(classes.where("copies > 1"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a < b")
     return one, cut(first.unionByName(second), "links").unionByName(copies)
 
