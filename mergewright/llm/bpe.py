@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-MAX_STATES = 400_000
-MAX_PIECES = 400_000
+MAX_STATES = 150_000
+MAX_PIECES = 150_000
 #: Bytes after which a piece is emitted in parts.
 WINDOW = 4096
 

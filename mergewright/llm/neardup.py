@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, read
+from .common import cut, partitions, read
 from .shingles import mix, shingle_sets
 
 PERMUTATIONS = 64
@@ -118,7 +118,7 @@ def confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-MEMBERS, SHINGLES = 1024, 500_000
+MEMBERS, SHINGLES = 1024, 200_000
 SIGN = ["doc_id", "n_shingles", "bands", "s1", "s2", "root"]
 
 
@@ -127,7 +127,7 @@ def blocked(rows: DataFrame) -> DataFrame:
     size = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int")
     parts = rows.groupBy("bucket").agg(size.alias("parts"))
     out = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    return out.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+    return out.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts").repartition(4 * partitions(rows.sparkSession), "bucket", "i", "j")
 
 
 def near_pairs(pdf: pd.DataFrame, percent: int):
