@@ -5,7 +5,7 @@ alone. So the encoding of every prefix is found from left to right: among the to
 one fits the encoding of the prefix before it. As a transducer: a hypothesis is a place in the trie of tokens (the bytes since
 a boundary) and the last token before that boundary; reading a byte moves each hypothesis down the trie and, where a
 fitting token ends, adds the new boundary's. A set of hypotheses is a state; states and moves are made when first met and kept (at
-most MAX_STATES; then the table starts anew, which changes no result). Tokens are emitted once all hypotheses of the state
+most MAX_MOVES moves; then the table starts anew, which changes no result). Tokens are emitted once all hypotheses of the state
 share them: at a piece's end, where one is left, and within long pieces every WINDOW bytes. No hypothesis is further
 behind than the longest token is long.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import accumulate, chain
+from operator import getitem
 
 import pyarrow as pa
 import regex
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-MAX_STATES = 150_000
-MAX_PIECES = 150_000
+MAX_MOVES = 800_000
+MAX_PIECES = 200_000
 #: Bytes after which a piece is emitted in parts.
 WINDOW = 4096
 
@@ -51,9 +53,22 @@ def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+class State(dict):
+    """Moves by byte, each made when first asked for. hypotheses: trie node * 2**20 + last token + 1 each; token: the one that ends the encoding of what
+    has been read."""
+
+    __slots__ = ("fst", "hypotheses", "length", "token")
+
+    def __init__(self, fst: Transducer, hypotheses: tuple[int, ...], token: int = -1, length: int = 0):
+        super().__init__()
+        self.fst, self.hypotheses, self.token, self.length = fst, hypotheses, token, length
+
+    def __missing__(self, byte: int) -> State:
+        return self.fst.move(self, byte)
+
+
 class Transducer:
-    """States are numbered; a state is a tuple of hypotheses, each trie node * 2**20 + last token + 1. Moves are kept as state * 256 + byte
-    -> next state * 2**20 + token that ends the encoding of the prefix. The tokens emitted follow from those by stepping back."""
+    """Reading bytes is a walk from state to state; the tokens emitted follow from the states by stepping back."""
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([i]) not in ranks for i in range(256)):
@@ -76,10 +91,14 @@ class Transducer:
             self.token_at[node] = rank
         self.edges: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
+        self.states: dict[tuple[int, ...], State] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers, self.states, self.moves = {(0,): 0}, [(0,)], {}
+        for state in self.states.values():  # they point at one another
+            state.clear()
+        self.start, self.made = State(self, (0,)), 0
+        self.states = {(0,): self.start}
 
     def sides(self, token: int) -> tuple | None:
         """What stands at a token's left and right end while it is merged, each as (bytes, rank of the merge that takes it up); None if
@@ -108,7 +127,7 @@ class Transducer:
         the merges that take up its two sides, and of equal ranks the leftmost merge comes first."""
         key = (last + 1) << 20 | token
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 2 * MAX_STATES:
+            if len(self.fits) > MAX_MOVES:
                 self.fits.clear()
             b = self.sides(token)
             if b is None:
@@ -124,10 +143,9 @@ class Transducer:
             self.fits[key] = known
         return known
 
-    def move(self, state: int, byte: int) -> int:
-        """The next state and the token ending here, made when first asked for."""
+    def move(self, state: State, byte: int) -> State:
         kept, new, trie, token_at = [], -1, self.trie, self.token_at
-        for h in self.states[state]:
+        for h in state.hypotheses:
             down = trie[h >> 20].get(byte)
             if down is None:
                 continue
@@ -140,85 +158,88 @@ class Transducer:
             raise ValueError("the ranks are not those of a byte-level BPE")
         kept.append(new + 1)
         to = tuple(kept)
-        number = self.numbers.get(to)
-        if number is None:
-            number = self.numbers[to] = len(self.states)
-            self.states.append(to)
-        found = self.moves[state << 8 | byte] = number << 20 | new
+        found = self.states.get(to)
+        if found is None:
+            found = self.states[to] = State(self, to, new, self.length[new])
+        self.made += 1
+        state[byte] = found
         return found
 
     def encode(self, raw: bytes) -> tuple[int, ...]:
         """The tokens of one piece."""
         if (whole := self.ranks.get(raw)) is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
+        if self.made > MAX_MOVES:
             self.forget()
         if len(raw) > WINDOW:
             return tuple(self.stream(raw))
-        state, ends, moves = 0, [], self.moves.get
-        for b in raw:
-            got = moves(state << 8 | b)
-            if got is None:
-                got = self.move(state, b)
-            state = got >> 20
-            ends.append(got & 0xFFFFF)
-        return self.back(ends, len(ends))
-
-    def back(self, ends: list[int], at: int) -> tuple[int, ...]:
-        """The encoding of the first `at` bytes."""
-        out, length = [], self.length
+        return self.back(list(accumulate(raw, getitem, initial=self.start)), len(raw))
+
+    @staticmethod
+    def back(path: list[State], at: int) -> tuple[int, ...]:
+        """The encoding of the first `at` bytes; path: the states before and after every byte."""
+        out = []
         while at > 0:
-            out.append(token := ends[at - 1])
-            at -= length[token]
+            state = path[at]
+            out.append(state.token)
+            at -= state.length
         return tuple(out[::-1])
 
     def stream(self, raw):
         """Yields tokens as bytes come, holding back only those that the live hypotheses don't share."""
-        state, ends = 0, []
+        path = [self.start]
         for b in raw:
-            got = self.moves.get(state << 8 | b)
-            if got is None:
-                got = self.move(state, b)
-            state = got >> 20
-            ends.append(got & 0xFFFFF)
-            if len(ends) >= WINDOW:
-                depth = {len(ends) - k for k in self.open_bytes(state, ends)}
-                paths = [self.back(ends, at) for at in sorted(depth)]
+            path.append(path[-1][b])
+            if len(path) > WINDOW:
+                depth = {len(path) - 1 - k for k in self.open_bytes(path[-1])}
+                paths = [self.back(path, at) for at in sorted(depth)]
                 n = 0
                 while all(len(p) > n and p[n] == paths[0][n] for p in paths):
                     n += 1
                 yield from paths[0][:n]
-                del ends[: sum(self.length[t] for t in paths[0][:n])]
-        yield from self.back(ends, len(ends))
-
-    def open_bytes(self, state: int, ends: list[int]) -> list[int]:
+                del path[: sum(self.length[t] for t in paths[0][:n])]
+                if self.made > MAX_MOVES:
+                    last = path[-1]
+                    self.forget()
+                    path[-1] = self.states[last.hypotheses] = State(self, last.hypotheses, last.token, last.length)
+        yield from self.back(path, len(path) - 1)
+
+    def open_bytes(self, state: State) -> list[int]:
         """How many bytes each live hypothesis has read since its boundary; they stand in the state from the most to the fewest."""
         if not hasattr(self, "depths"):
             self.depths = [0] * len(self.trie)
             for node, downs in enumerate(self.trie):
                 for down in downs.values():
                     self.depths[down] = self.depths[node] + 1
-        return [self.depths[h >> 20] for h in self.states[state]]
+        return [self.depths[h >> 20] for h in state.hypotheses]
+
+
+class Pieces(dict):
+    """Tokens by piece, of pieces up to 64 characters; when it is full, it starts anew and its last content helps out until it is full again."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst, self.older = fst, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece) or self.fst.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= MAX_PIECES // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Texts to tokens, with the table of pieces, whose older half goes when it is full."""
+    """Texts to tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.find, self.known, self.older = Transducer(ranks), regex.compile(pattern).findall, {}, {}
+        self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
+        self.pieces = Pieces(self.fst)
 
     def __call__(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.older.get(piece) or self.fst.encode(piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= MAX_PIECES // 2:
-                        self.older, self.known = known, (known := {})
-                    known[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
 
 #: Well-formed UTF-8 (Unicode Standard, table 3-7): lead bytes, then the allowed range of the second byte and the number of bytes after it.

@@ -276,6 +276,21 @@ def test_bpe_is_tiktokens(spark, few, empty):
     assert bpe.digest(empty, path, pattern).count() == 0
 
 
+def test_bpe_with_full_tables(monkeypatch):
+    """Tables that start anew all the time and pieces emitted in parts change nothing."""
+    import tiktoken
+
+    for name, n in (("MAX_MOVES", 60), ("MAX_PIECES", 6), ("WINDOW", 48)):
+        monkeypatch.setattr(bpe, name, n)
+    path, pattern = bpe.default_vocabulary()
+    ranks = bpe.load_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode, r = bpe.Encoder(ranks, pattern), random.Random(9)
+    for _ in range(300):
+        text = "".join(r.choice("abcdefghijklmnoprstuvwxyzé") for _ in range(r.randint(0, 400))) + " " + "".join(r.choice("ab c漢") for _ in range(20))
+        assert encode(text) == own.encode_ordinary(text)
+
+
 def labelled(spark):
     r = random.Random(6)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
