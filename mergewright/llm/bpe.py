@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, small_batches, tables
 
 MAX_MOVES = 800_000
 MAX_PIECES = 200_000
@@ -295,15 +295,14 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-_made: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """One of each for a worker process."""
-    if (path, pattern) not in _made:
+
+    def make():
         ranks = load_ranks(path)
-        _made[path, pattern] = Encoder(ranks, pattern), Decoder(ranks)
-    return _made[path, pattern]
+        return Encoder(ranks, pattern), Decoder(ranks)
+
+    return tables((path, pattern), make)
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -311,10 +310,8 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encode, _ = codec(path, pattern)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                yield pa.record_batch([part.column(0), pa.array([encode(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for b in small_batches(batches, 1, (path, pattern)):
+            yield pa.record_batch([b.column(0), pa.array([encode(x or "") for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -336,7 +333,7 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encode, decoder = codec(path, pattern)
         names: dict[int, str] = {i: str(i) for i in encode.fst.bytes_of}
-        for b in batches:
+        for b in small_batches(batches, 1, (path, pattern)):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = encode(text or "")

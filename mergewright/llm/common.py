@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words in the contracts: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that Python holds as objects at a time.
+BATCH_BYTES = 1 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -66,3 +71,35 @@ def n_words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_tables: dict = {}
+
+
+def release(own=None) -> None:
+    """Drops the tables that this worker process keeps for any other operator."""
+    if others := [k for k in _tables if k != own]:
+        for k in others:
+            del _tables[k]
+        gc.collect()  # they may hold cycles
+
+
+def tables(key, make):
+    """What a worker process keeps from task to task, for one operator at a time."""
+    release(key)
+    if key not in _tables:
+        _tables[key] = make()
+    return _tables[key]
+
+
+def small_batches(batches, column: int, own=None):
+    """Slices of record batches of about BATCH_BYTES of text. own: the key of the tables that the caller keeps."""
+    release(own)
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            start = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, start + BATCH_BYTES)))
+            yield b.slice(lo, hi - lo)
+            lo = hi

@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, partitions, read
+from .common import cut, partitions, read, small_batches
 from .shingles import mix, shingle_sets
 
 PERMUTATIONS = 64
 MISS = 1e-6
-BATCH_BYTES = 1 << 20
 
 
 def rows_per_band(threshold: float) -> int:
@@ -67,18 +66,6 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits((mix(sig) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def small_batches(batches, column: int):
-    """Slices of record batches of about BATCH_BYTES of text."""
-    for b in batches:
-        sizes = np.cumsum([len(x) if x else 0 for x in b.column(column).to_pylist()])
-        lo = 0
-        while lo < b.num_rows:
-            start = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, start + BATCH_BYTES)))
-            yield b.slice(lo, hi - lo)
-            lo = hi
-
-
 def signed(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, set_key (null without shingles), bands, s1, s2."""
     rows = rows_per_band(threshold)

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import read, small_batches
 from .labelled import fold, sample
-from .neardup import small_batches
 from .shingles import BASE, _power_tables, mix
 
 PARTS, HELD = 4, 2

@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_dir
-from .common import cut, read
-from .neardup import small_batches
+from .common import cut, read, small_batches
 from .shingles import _power_tables, mix
 from .suffix import suffix_array
 

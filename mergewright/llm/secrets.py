@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -104,7 +104,7 @@ def default_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_tokens: int =
     """token, label. Of the sampled documents at most n_tokens distinct words are kept, those that hash lowest, and at most as many secrets."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 0):
             out = set()
             for text in b.column(0).to_pylist():
                 spans = base_spans(text or "")
@@ -132,7 +132,7 @@ def report(docs: DataFrame, samples: pd.DataFrame | None = None, margin: float =
     ratio = Ratio.train(default_samples(docs) if samples is None else samples)
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 spans = scan(text or "", ratio, margin)
@@ -161,7 +161,7 @@ def redact(docs: DataFrame, samples: pd.DataFrame | None = None, margin: float =
         return "".join(out) + text[end:]
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, at):
             yield pa.RecordBatch.from_arrays([pa.array(map(clean, c.to_pylist()), c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
     out = docs.mapInArrow(run, schema)

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, small_batches
 from .labelled import fold as fold_of
 from .labelled import sample
-from .neardup import signature, small_batches
+from .neardup import signature
 from .shingles import shingle_sets
 
 PARTS, HELD = 5, 0
@@ -211,7 +211,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 2):
             s = [known.value.score(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
