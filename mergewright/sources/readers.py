@@ -32,9 +32,8 @@ RECORD_ALIASES = {
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """With a header; UTF-8, or Latin-1 where the start of the file isn't UTF-8."""
-    head = spark.read.text(path).limit(200).select("value").collect()
-    bad = any("�" in (r.value or "") for r in head)
+    """With a header; UTF-8, or Latin-1 where any byte of the path isn't UTF-8."""
+    bad = not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
     return spark.read.options(header=True, encoding="ISO-8859-1" if bad else "UTF-8", multiLine=True, escape='"').csv(path)
 
 

@@ -31,6 +31,15 @@ def test_csv(spark, tmp_path):
         readers.file(spark, str(tmp_path / "x.doc"))
 
 
+def test_csv_encoding_is_decided_on_all_bytes(spark, tmp_path):
+    rows = "Ad Soyad,Telefon\n" + "".join(f"Ali {i},{i}\n" for i in range(400))
+    for name, text, code in (("late", "Çigdem", "latin-1"), ("late8", "Çiğdem", "utf-8"), ("sign", "Çiğdem \ufffd", "utf-8")):
+        lines = rows + text + ",0532\n" if name != "sign" else "Ad Soyad,Telefon\n" + text + ",0532\n"
+        (tmp_path / f"{name}.csv").write_bytes(lines.encode(code))
+        got = readers.file(spark, str(tmp_path / f"{name}.csv")).where("Telefon = '0532'").collect()
+        assert [r[0] for r in got] == [text]
+
+
 def test_excel(spark, tmp_path):
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Telefon</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>532</v></c></row></sheetData></worksheet>'
     shared = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Ad Soyad</t></si><si><t>Ali</t></si></sst>'
