@@ -97,17 +97,25 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
 
 def materialise(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix itself: the documents with all their columns, one row per use, range-sorted by position. A use in part keeps the text's first words.
-    Documents are found by id; rows that share an id share the larger plan."""
-    plan = plan.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.struct("taken", "size", "position", "last_position")).alias("_p"))
-    used = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    plan: what mix() made of these docs. Where ids repeat or are null, the rows of one id, source and size, which mix() takes as they come, are numbered on
+    both sides, so that each row has a plan of its own."""
+    columns, own = docs.columns, ["doc_id"]
+    if not plan.groupBy("doc_id").count().where("count > 1").isEmpty():
+        own = ["doc_id", "source", "_size", "_no"]
+        docs = docs.withColumn("_size", n_words(F.col("text")))
+        plan = plan.withColumn("_size", F.col("size"))
+        docs = docs.withColumn("_no", F.row_number().over(W.partitionBy(*own[:3]).orderBy("text", *[c for c in columns if c not in (*own, "text")])))
+        plan = plan.withColumn("_no", F.row_number().over(W.partitionBy(*own[:3]).orderBy("position", "last_position", "taken")))
+    plan = plan.where("taken > 0").select(*[F.col(c).alias(f"_p_{c}") for c in own], F.struct("taken", "size", "position", "last_position").alias("_p"))
+    used = docs.join(plan, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in own])
     uses = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_p.taken") / F.col("_p.size")).cast("int") - 1), lambda k: F.struct(F.when(k == 0, F.col("_p.position")).otherwise(F.col("_p.last_position")).alias("at"), F.least(F.col("_p.size"), F.col("_p.taken") - k * F.col("_p.size")).alias("words")))
     used = used.withColumn("_use", F.explode(uses))
     pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     leads = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
     cutting = F.concat_ws("", F.slice(pieces, F.lit(1), F.col("_use.words").cast("int") + leads))
     text = F.when(F.col("_use.words") < F.col("_p.size"), cutting).otherwise(F.col("text"))
-    out = used.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else used.withColumn("text", text)
-    return out.orderBy("_use.at", "doc_id").select(*docs.columns)
+    out = used.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else used.withColumn("text", text)
+    return out.orderBy("_use.at", "doc_id").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ sketch of their signatures (a bound 6 standard deviations wide, so it loses noth
 on its sets; out come edges that join components. A link that isn't checked is one inside a component.
 
 Defined results: null, empty and wordless texts have 0 shingles and are linked with nothing; rows with a null id are linked with nothing
-and have a null component; rows that share an id are one node with the union of their links; equal texts are linked; an empty table gives no
-rows; other columns are ignored (deduplicate() keeps them).
+and have a null component; rows that share an id are documents of their own, and components may then share their number, the smallest id; equal
+texts are linked, and one of equal rows with words is kept; an empty table gives no rows; other columns are ignored (deduplicate() keeps them).
 """
 
 from __future__ import annotations
@@ -214,24 +214,53 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     return one, cut(first.unionByName(second), "links").unionByName(copies)
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+def has_copies(docs: DataFrame) -> bool:
+    """Whether any id that isn't null stands in more than one row."""
+    return not docs.selectExpr("cast(doc_id as bigint) doc_id").groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+
+
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row, ids being unique."""
     one, edges = links(docs, k, percent)
     root = connected_components(edges, "a", "b", cut)
-    out = one.join(root, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return one.join(root, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "doc_id")).select("doc_id", "n_shingles", "component_id")
+
+
+def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text, copies, n_shingles, component_id, least (of its component, by id and text) of each different pair of an id that isn't null and a text:
+    every pair has a number, by which it is linked. A pair with equal rows is least or not as they all are."""
+    own = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    own = cut(own.withColumn("no", F.monotonically_increasing_id()), "nodes")
+    found = linked(own.select(F.col("no").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("no"), "n_shingles", F.col("component_id").alias("root"))
+    ranks = cut(own.select("no", "doc_id", F.md5("text").alias("digest")).join(found, "no"), "ranks")
+    first = ranks.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "no")).alias("first"))
+    ranks = ranks.join(first, "root").select("no", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("no") == F.col("first.no")).alias("least"))
+    return cut(own.join(ranks, "no").drop("no"), "known")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    if not has_copies(docs):
+        return linked(docs, k, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    known = nodes(docs, k, percent).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    known = known.select("doc_id", "n_shingles", "component_id", (F.col("least") & ((F.col("n_shingles") == 0) | (F.col("copy") == 1))).alias("kept"))
+    lone = signed(docs.where("doc_id is null"), k, percent / 100).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return known.unionByName(lone)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest of their component, with all columns; of rows that share an id the least stays."""
-    gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = cut(left.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1 and _id is not null").select("_id"), "again")
-    if not again.take(1):
-        return left
-    single = left.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
-    least = left.join(again, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_r"))
-    return single.unionByName(least.select("doc_id", "_r.*").select(*docs.columns))
+    """The documents that are the smallest of their component, with all columns; of rows that share their id and text the least stays."""
+    if not has_copies(docs):
+        gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    known = nodes(docs, k, percent).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "copies", "n_shingles", "least")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("text") == F.col("_text"))
+    again = known.where("least and copies > 1 and n_shingles > 0")
+    single = docs.join(known.where("not least").unionByName(again), same, "left_anti")
+    rows = docs.join(again, same, "left_semi").groupBy("doc_id", "text")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = rows.agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_r")).select("doc_id", "text", *[F.col("_r")[c].alias(c) for c in rest])
+    return single.unionByName(least.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

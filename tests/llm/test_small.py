@@ -158,6 +158,18 @@ def test_near_duplicates(spark, few, empty, k, percent):
     assert Counter(x.doc_id for x in kept.collect()) == Counter(want)
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    a, b, c, d = (" ".join(r.choices(words, k=100)) for _ in range(4))
+    rows = [(1, a, "a"), (1, b, "b"), (2, b + " more", "a"), (3, c, "a"), (3, c, "a"), (3, d, "a"), (4, d, "b"), (5, None, "a"), (5, None, "b"), (5, "", "a"), (6, a, "a"), (None, a, "a"), (None, b, "b")]
+    want = Counter([(1, a), (1, b), (3, c), (3, d), (5, None), (5, None), (5, ""), (None, a), (None, b)])
+    kept = neardup.deduplicate(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns and Counter((x.doc_id, x.text) for x in kept.collect()) == want
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in neardup.components(docs(spark, rows)).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, False), (3, 3, True), (4, 3, False), (5, 5, True), (5, 5, True), (5, 5, True), (6, 1, False), (None, None, True), (None, None, True)])
+
+
 def test_shingle_sets_are_sizes_of_true_sets(few):
     for k in (3, 5):
         assert [len(s) for s in shingle_sets([t for _, t, _ in few], k)] == [len(shingles(t, k)) for _, t, _ in few]
@@ -206,6 +218,24 @@ def test_mixing(spark, few, empty):
     assert used.columns == docs(spark, []).columns and used.count() > 30
 
 
+def test_mixing_with_shared_ids(spark):
+    r = random.Random(13)
+    texts = [" ".join(r.choices(["uno", "dos", "tres"], k=r.randint(0, 30))) + f" t{i}" for i in range(40)]
+    rows = [(None if i % 4 == 0 else i % 7, t, "abc"[i % 3]) for i, t in enumerate(texts)] + [(6, None, "a"), (50, "alone here", "b")]
+    plan = mixing.mix(docs(spark, rows))
+    used = mixing.materialise(docs(spark, rows), plan).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    uses = Counter((x.doc_id, x.source, -(-x.taken // x.size)) for x in plan.where("taken > 0").collect())
+    assert len(used) == sum(k[2] * n for k, n in uses.items())
+    want = Counter()
+    for x in plan.collect():
+        want[x.doc_id, x.source] += x.taken
+    got = Counter()
+    for x in used:
+        got[x.doc_id, x.source] += size(x.text)
+    assert +got == +want
+
+
 @pytest.mark.parametrize("knots", mixing.SCHEDULES)
 def test_schedule_inverts(spark, knots):
     df = spark.range(11).select((F.col("id") / 10).alias("u"))
