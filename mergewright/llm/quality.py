@@ -185,7 +185,7 @@ def train(rows: DataFrame, vectors: np.ndarray, shares: dict[int, float] | None
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     vectors = word_vectors(docs)
-    counts = {r.y: r.n for r in labels.where("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.y: r.n for r in labels.where("quality in (0, 1)").where(fold(PARTS) != HELD).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     rows = sample(docs, labels, "quality", PARTS, HELD, {0: ROWS, 1: ROWS})
     return vectors, train(rows, vectors, {k: n / sum(counts.values()) for k, n in counts.items()})
 

@@ -359,3 +359,13 @@ def test_quality(spark, empty):
     assert kept.columns == d.columns and 300 <= kept.count() <= 330
     assert quality.score(empty, *quality.fitted(empty, labels.limit(0))).count() == 0
     assert quality.score(d, *quality.fitted(d, labels.limit(0))).where("score <> 0.5").count() == 0
+
+
+def test_quality_shares_without_the_held_out_fold(spark, monkeypatch):
+    rows, labels = labelled(spark)
+    d, seen = docs(spark, rows), []
+    monkeypatch.setattr(quality, "train", lambda rows, vectors, shares: seen.append(shares))
+    held = quality.fold(quality.PARTS) == quality.HELD
+    quality.fitted(d, labels)
+    quality.fitted(d, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert seen[0] == seen[1] and sum(seen[0].values()) == pytest.approx(1)
