@@ -184,7 +184,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
 
     rows = rows.selectExpr("cast(doc_id as bigint) doc_id", "text", "cast(y as int) y")
     found = rows.mapInArrow(near, "phrase string, y int, n long").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("y").alias("toxic"))
-    exceptions = [r.phrase for r in found.where("clean >= 3 and toxic = 0").orderBy("phrase").limit(ENTRIES).collect()]
+    exceptions = [r.phrase for r in found.where("clean >= 3 and toxic = 0").orderBy("phrase").collect()]
     lexicon = Lexicon(lexicon.entries, exceptions)
 
     def measure(batches):

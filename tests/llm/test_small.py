@@ -348,6 +348,14 @@ def test_toxicity(spark, empty):
     assert toxicity.learn(toxicity.sample(d, labels.limit(0), "toxic", 5, 0, {1: 5, 0: 5})).score("x") < 0.5
 
 
+def test_toxicity_keeps_all_exceptions(spark):
+    n = toxicity.ENTRIES + 20
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, " ".join(f"trash q{name(i)}" for _ in range(3)), 0) for i in range(n)] + [(n + i, "you trash", 1) for i in range(20)]
+    lexicon = toxicity.calibrate(spark.createDataFrame(rows, "doc_id long, text string, y int"), toxicity.Lexicon({" trash ": 5.0}))
+    assert all(lexicon.matches(toxicity.fold_text(f"trash q{name(i)}")) == [] for i in range(n))
+
+
 def test_quality(spark, empty):
     rows, labels = labelled(spark)
     d = docs(spark, rows)
