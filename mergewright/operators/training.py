@@ -20,6 +20,8 @@ CANONICAL = ["name_similarity", "email_similarity", "phone_exact_match", "tc_exa
 #: Those of the model trained offline.
 OFFLINE = ["tc_exact_match", "tc_conflict", "phone_exact_match", "phone_last7_match", "email_exact_match", "email_domain_match", "email_username_similarity", "city_exact_match", "phonetic_exact_match", "metaphone_exact_match", "phonetic_close_match", "name_jaro_winkler", "name_levenshtein_similarity", "name_similarity", "first_name_similarity", "surname_similarity", "first_name_jaro_winkler", "surname_jaro_winkler", "first_name_exact_match", "surname_exact_match", "shared_contact_flag", "shared_contact_name_conflict", "household_risk_flag"]
 MIN_ROWS = 10
+#: The most that Spark's trees allow; the model has no limit of its own.
+MAX_DEPTH = 30
 
 
 def _f(n: str) -> Column:
@@ -135,7 +137,7 @@ def train_forest(df: DataFrame, columns: list[str] | None = None, trees: int = 2
     rows = split(df.select("left_id", "right_id", F.col("label").cast("int").alias("label"), *own))
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, total / (2.0 * counts[1])).otherwise(total / (2.0 * counts[0])))
     rows = cut(rows, "training")
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", labelCol="label", featuresCol="v", maxDepth=10)
+    forest = RandomForestClassifier(numTrees=trees, seed=seed, weightCol="weight", labelCol="label", featuresCol="v", maxDepth=MAX_DEPTH)
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="v"), forest]).fit(rows.where("not is_test"))
     told = classification_metrics(predict(model, rows.where("is_test")).withColumn("predicted", (F.col("ml_probability") >= 0.5).cast("int"))).head().asDict()
     return model, told | {"train_size": rows.where("not is_test").count(), "test_size": rows.where("is_test").count(), "total_labeled_samples": total, "feature_columns": columns}

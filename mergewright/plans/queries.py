@@ -534,7 +534,7 @@ def training_pairs(spark, sf):
 def forest_scores(spark, sf):
     """Weak labels, a forest on the offline features, and its probabilities."""
     f = cut(X.rules_features(_flat(spark, sf)), "features")
-    model, _ = training.train_forest(training.weakly_labelled(f), training.OFFLINE, trees=20)
+    model, _ = training.train_forest(training.weakly_labelled(f), training.OFFLINE)
     return training.predict(model, f).select(*IDS, "ml_probability")
 
 

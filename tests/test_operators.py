@@ -138,3 +138,18 @@ def test_clean_dataset_has_each_record_once(spark):
     rest = clean.where("source_rank = 1").count()
     assert rest + m.where("status = 'confirmed'").count() == D.records(spark, SF).count()
     assert Q.clean_page(clean, 1, 10).count() == 10
+
+
+def test_forest_scores_are_of_the_whole_forest(spark, monkeypatch):
+    from mergewright.plans.queries import QUERIES
+
+    made, train = [], training.train_forest
+
+    def seen(*a, **b):
+        made.append(train(*a, **b))
+        return made[-1]
+
+    monkeypatch.setattr(training, "train_forest", seen)
+    assert QUERIES["forest_scores"](spark, "/root/testdata/sf0.001").count() > 0
+    forest = made[0][0].stages[1]
+    assert forest.getNumTrees == 200 and forest.getMaxDepth() == 30
