@@ -2,66 +2,42 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..plans.tables import cut, drop, drop_since, shared_dir  # noqa: F401
+from ..plans.tables import tables as cut_tables  # noqa: F401
 
 #: What separates words in the contracts: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python holds as objects at a time.
 BATCH_BYTES = 1 << 20
-_written: list[tuple[SparkSession, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="mergewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; its folder goes with it
-            return
-
-
-atexit.register(_sweep)
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that names of an operator's own can't clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+def fields(df: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of df from the struct that whole_row() made."""
+    return [F.col(f"{row}.`{c}`").alias(c) for c in df.columns]
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the table behind a frame that cut() returned, once nothing will read it again."""
-    spark = df.sparkSession
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """mapInArrow() to the same columns, whatever their names: run sees them by position."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(plain, df.schema)])
+    return df.toDF(*plain).mapInArrow(run, schema).toDF(*df.columns)
 
 
 def n_words(text: Column) -> Column:

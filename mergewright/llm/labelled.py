@@ -20,4 +20,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
     for k, n in most.items():
         own = known.where(F.col("y") == k).orderBy("h", "doc_id").limit(n).select(F.col("doc_id").alias("id"), F.col("y").cast("int").alias("y"))
         picked = own if picked is None else picked.unionByName(own)
-    return docs.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")

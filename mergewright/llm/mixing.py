@@ -5,10 +5,12 @@ for words up to time t is its target times the share of its schedule's integral
 offset u of its source (documents in the order of a hash of their ids) is used at the time where the demand reaches u,
 so that inverting the integral gives its training position; the mix is range-sorted by position.
 
-Prefix sums never put a source into one task: they are taken over (source, hash prefix) sums, and inside a prefix.
+Prefix sums never put a source into one task: equal rows are counted first, sums are taken over (source, leading digits of the hash) in two levels
+of at most 16**3 rows each, and inside the finer bins. Only tables with one row for each source are ordered in one task.
 
 Defined results: null text or a text without words has size 0, takes 0 words and has a null position; null sources form
-one source, the last; null ids hash as the empty string; repeated rows each count; an empty table gives no rows.
+one source, the last; null ids hash as the empty string; repeated rows each count; very long texts count whole; an empty table gives no rows;
+other columns are ignored by mix() and kept by materialise(), whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, read
+from .common import cut, n_words, read, whole_row
 
 WEIGHTS = (3, 1, 2)
 #: Knots (time, multiplier) by class of weight: the first fade out, the second are steady, the third fade in.
@@ -66,23 +68,41 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     return s.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).select("source", "source_size", "class", "weight", "target")
 
 
+COPIES = 10_000
+
+
+def each_copy(rows: DataFrame, most: int) -> DataFrame:
+    """A row for each of a row's `copies`, numbered from 0 in `copy`. What is there very often is dealt out in runs of COPIES before it is spelt out."""
+    if most <= COPIES:
+        return rows.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    runs = rows.withColumn("run", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)"))).repartition("h", "run")
+    return runs.withColumn("copy", F.explode(F.expr(f"sequence(run, least(run + {COPIES}L, copies) - 1)"))).drop("run")
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, schedules=SCHEDULES, seed: str = "") -> DataFrame:
     """docs (doc_id, text, source; others ignored) -> doc_id, source, size, source_size, target, taken, position, last_position.
 
-    A source's documents stand in the order of md5(seed + id). Its target takes whole passes over all of them, then
+    A source's documents stand in the order of md5(seed + id + " " + md5(text)), so that rows that share an id are apart too; equal rows follow one another. Its target takes whole passes over all of them, then
     documents in that order until the target is met; the last of them may be taken in part. position and last_position are the
     times in training, 0 to 1, of the first and the last use of a document; null if it isn't used."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    n = docs.count()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(text)))
+    one = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("h")).groupBy("h", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix")
+    n, most_copies = one.agg(F.count("*"), F.max("copies")).first()
     digits = min(6, max(1, math.ceil(math.log(max(1, n / 20_000), 16))))
-    one = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("h")), "mix")
-    one = one.withColumn("bin", F.substring("h", 1, digits))
-    bins = one.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    plan = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), share, most, weights)
-    w = W.partitionBy("source").orderBy("bin")
-    plan = bins.withColumn("bin_start", F.sum("bin_size").over(w) - F.col("bin_size")).withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).select("s", F.col("bin").alias("b"), "bin_start", "source_size", "class", "target")
+    coarse = (digits + 1) // 2
+    one = one.withColumns({"bin": F.substring("h", 1, digits), "all": F.col("size") * F.col("copies")})
+    bins = one.groupBy("source", "bin").agg(F.sum("all").alias("bin_size")).withColumn("top", F.substring("bin", 1, coarse))
+    tops = bins.groupBy("source", "top").agg(F.sum("bin_size").alias("top_size"))
+    plan = targets(tops.groupBy("source").agg(F.sum("top_size").alias("source_size")), share, most, weights)
+    before = lambda c, by, *parts: F.sum(c).over(W.partitionBy(*parts).orderBy(by)) - F.col(c)
+    tops = tops.withColumn("top_start", before("top_size", "top", "source")).select(F.col("source").alias("s"), F.col("top").alias("t"), "top_start")
+    bins = bins.withColumn("in_top", before("bin_size", "bin", "source", "top")).withColumnRenamed("source", "bs")
+    bins = bins.join(tops, F.col("bs").eqNullSafe(F.col("s")) & (F.col("top") == F.col("t"))).select("bs", F.col("bin").alias("b"), (F.col("top_start") + F.col("in_top")).alias("bin_start"))
+    plan = bins.join(plan.withColumnRenamed("source", "s"), F.col("bs").eqNullSafe(F.col("s"))).select("s", "b", "bin_start", "source_size", "class", "target")
     inside = W.partitionBy("source", "bin").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    own = one.withColumn("inner", F.sum("size").over(inside) - F.col("size"))
+    own = one.withColumn("inner", F.sum("all").over(inside) - F.col("all"))
+    own = each_copy(own, most_copies or 1).withColumn("inner", F.col("inner") + F.col("copy") * F.col("size"))
     own = own.join(plan, (F.col("bin") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")), "left")
     whole = F.floor("target")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long")
@@ -99,23 +119,23 @@ def materialise(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix itself: the documents with all their columns, one row per use, range-sorted by position. A use in part keeps the text's first words.
     plan: what mix() made of these docs. Where ids repeat or are null, the rows of one id, source and size, which mix() takes as they come, are numbered on
     both sides, so that each row has a plan of its own."""
-    columns, own = docs.columns, ["doc_id"]
+    d = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"))
+    p = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "taken", "position", "last_position")
+    same = F.col("id").eqNullSafe(F.col("p_id"))
     if not plan.groupBy("doc_id").count().where("count > 1").isEmpty():
-        own = ["doc_id", "source", "_size", "_no"]
-        docs = docs.withColumn("_size", n_words(F.col("text")))
-        plan = plan.withColumn("_size", F.col("size"))
-        docs = docs.withColumn("_no", F.row_number().over(W.partitionBy(*own[:3]).orderBy("text", *[c for c in columns if c not in (*own, "text")])))
-        plan = plan.withColumn("_no", F.row_number().over(W.partitionBy(*own[:3]).orderBy("position", "last_position", "taken")))
-    plan = plan.where("taken > 0").select(*[F.col(c).alias(f"_p_{c}") for c in own], F.struct("taken", "size", "position", "last_position").alias("_p"))
-    used = docs.join(plan, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in own])
-    uses = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_p.taken") / F.col("_p.size")).cast("int") - 1), lambda k: F.struct(F.when(k == 0, F.col("_p.position")).otherwise(F.col("_p.last_position")).alias("at"), F.least(F.col("_p.size"), F.col("_p.taken") - k * F.col("_p.size")).alias("words")))
-    used = used.withColumn("_use", F.explode(uses))
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    leads = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("int")
-    cutting = F.concat_ws("", F.slice(pieces, F.lit(1), F.col("_use.words").cast("int") + leads))
-    text = F.when(F.col("_use.words") < F.col("_p.size"), cutting).otherwise(F.col("text"))
-    out = used.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else used.withColumn("text", text)
-    return out.orderBy("_use.at", "doc_id").select(*columns)
+        d = d.withColumns({"d_source": F.col("row.source"), "d_size": n_words(F.col("row.text"))})
+        d = d.withColumn("d_no", F.row_number().over(W.partitionBy("id", "d_source", "d_size").orderBy("row.text", F.to_json("row"))))
+        p = p.withColumn("p_no", F.row_number().over(W.partitionBy("p_id", "p_source", "p_size").orderBy("position", "last_position", "taken")))
+        same = same & F.col("d_source").eqNullSafe(F.col("p_source")) & (F.col("d_size") == F.col("p_size")) & (F.col("d_no") == F.col("p_no"))
+    used = d.join(p.where("taken > 0"), same)
+    uses = F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("p_size")).cast("int") - 1), lambda k: F.struct(F.when(k == 0, F.col("position")).otherwise(F.col("last_position")).alias("at"), F.least(F.col("p_size"), F.col("taken") - k * F.col("p_size")).alias("words")))
+    used = used.withColumn("use", F.explode(uses))
+    pieces = F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    leads = F.col("row.text").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    cutting = F.concat_ws("", F.slice(pieces, F.lit(1), F.col("use.words").cast("int") + leads))
+    used = used.withColumn("shown", F.when(F.col("use.words") < F.col("p_size"), cutting).otherwise(F.col("row.text")))
+    new = {"text": F.col("shown")} | ({"n_chars": F.length("shown").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return used.orderBy("use.at", "id").select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +156,7 @@ def _time_sql() -> str:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) AS class FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE class WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS cap, 2 * source_size / CAST(CASE class WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS full_at FROM s),
 v AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level FROM w WINDOW o AS (ORDER BY full_at, source NULLS LAST)),

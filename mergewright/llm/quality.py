@@ -8,7 +8,8 @@ bucket are a plain aggregation, and what the driver gets is the table of vectors
 The network is fitted on a bounded sample of labelled rows (ROWS of each class), and its temperature on a fifth of them kept aside.
 
 Defined results: null and wordless texts have a zero vector and get its score; without labels every score is 0.5, with one class only it is 1 or 0 (as that class says);
-repeated rows are scored each; an empty table gives no rows; other columns are ignored (keep() keeps them).
+very long texts are read whole; repeated rows and rows that share an id or have none are scored each; ids that are null or have labels of both kinds teach
+nothing; an empty table gives no rows; other columns are ignored (keep() keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import map_rows, read, small_batches
 from .labelled import fold, sample
 from .shingles import BASE, _power_tables, mix
 
@@ -211,7 +212,7 @@ def keep(docs: DataFrame, vectors: np.ndarray, net: Network, least: float = CUT)
         for b in small_batches(batches, at):
             yield b.filter(pa.array(known.value[1].proba(pooled(b.column(at).to_pylist(), known.value[0])) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
