@@ -11,7 +11,8 @@ on its sets; out come edges that join components. A link that isn't checked is o
 
 Defined results: null, empty and wordless texts have 0 shingles and are linked with nothing; rows with a null id are linked with nothing
 and have a null component; rows that share an id are documents of their own, and components may then share their number, the smallest id; equal
-texts are linked, and one of equal rows with words is kept; an empty table gives no rows; other columns are ignored (deduplicate() keeps them).
+texts are linked, and one of equal rows with words is kept; very long texts are read whole; an empty table gives no rows; other columns are ignored
+(deduplicate() keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, partitions, read, small_batches
+from .common import cut, fields, partitions, read, small_batches, whole_row
 from .shingles import mix, shingle_sets
 
 PERMUTATIONS = 64
@@ -97,10 +98,25 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
+SALT, HUBS = 64, 10_000
+
+
+def attach(pairs: DataFrame, own: DataFrame, side: str, n_pairs: int) -> DataFrame:
+    """Pairs with the shingles of one side. An id in very many pairs is a hub; there are HUBS of them at most, so their table can be broadcast. A hub's
+    pairs are dealt out by the hash of their other side, and its shingles are sent to each part."""
+    much = max(1024, -(-n_pairs // HUBS))
+    other = "b" if side == "a" else "a"
+    hubs = pairs.groupBy(side).count().where(F.col("count") > much).select(F.col(side).alias("hub"), F.ceil(F.col("count") / much).cast("int").alias("parts"))
+    dealt = pairs.join(F.broadcast(hubs), F.col(side) == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("hub", "parts")
+    sent = own.join(F.broadcast(hubs), F.col("id") == F.col("hub"), "left")
+    sent = sent.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(sent, [side, "part"]).drop("part")
+
+
 def confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough; own: id, shingles of every document in a pair."""
-    b = pairs.join(own.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = b.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    """The pairs (a table that cut() returned) whose full sets are alike enough; own: id, shingles of every document in a pair."""
+    n = pairs.count()
+    both = attach(attach(pairs, own, "b", n), own, "a", n)
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
     return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
@@ -195,9 +211,9 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     threshold = percent / 100
     one = cut(signed(docs, k, threshold), "signed")
     known = one.where("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = known.join(classes.select(F.col("set_key").alias("key2"), F.col("rep")), (F.col("set_key") == F.col("key2")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    signs = cut(reps.dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands", "s1", "s2"), "signs")
+    sign = F.struct("n_shingles", "bands", "s1", "s2")
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(sign, "doc_id").alias("sign"), F.count("*").alias("copies")), "classes")
+    signs = classes.select(F.col("rep").alias("doc_id"), "sign.*")
     reps = signs.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = reps.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     members = cut(reps.join(buckets, "bucket"), "members")
@@ -210,8 +226,16 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     first = cut(confirm(stars, own, percent).distinct(), "first")
     root = connected_components(first, "a", "b", cut)
     second = across(members, root, signs, own, percent)
-    copies = known.join(classes.where("copies > 1"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    return one, cut(first.unionByName(second), "links").unionByName(copies)
+    return one, cut(first.unionByName(second), "links").unionByName(copied(known, classes))
+
+
+def copied(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the documents of one set. A class is first joined in SALT parts by hash of the id, so that no task gets a large one whole."""
+    salted = known.select("set_key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))
+    subs = cut(salted.groupBy("set_key", "salt").agg(F.min("doc_id").alias("sub"), F.count("*").alias("n")), "subs")
+    inside = salted.join(subs.where("n > 1").drop("n"), ["set_key", "salt"]).select(F.col("sub").alias("a"), F.col("doc_id").alias("b"))
+    between = subs.join(classes.where("copies > 1").select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("sub").alias("b"))
+    return inside.unionByName(between).where("a < b")
 
 
 def has_copies(docs: DataFrame) -> bool:
@@ -250,17 +274,17 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component, with all columns; of rows that share their id and text the least stays."""
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"))
     if not has_copies(docs):
-        gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    known = nodes(docs, k, percent).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "copies", "n_shingles", "least")
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("text") == F.col("_text"))
+        gone = components(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+        return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*fields(docs))
+    rows = rows.withColumn("digest", F.md5("row.text"))
+    known = nodes(docs, k, percent).select(F.col("doc_id").alias("k_id"), F.md5("text").alias("k_digest"), "copies", "n_shingles", "least")
+    same = (F.col("id") == F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
     again = known.where("least and copies > 1 and n_shingles > 0")
-    single = docs.join(known.where("not least").unionByName(again), same, "left_anti")
-    rows = docs.join(again, same, "left_semi").groupBy("doc_id", "text")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = rows.agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_r")).select("doc_id", "text", *[F.col("_r")[c].alias(c) for c in rest])
-    return single.unionByName(least.select(*docs.columns))
+    single = rows.join(known.where("not least").unionByName(again), same, "left_anti").select("row")
+    least = rows.join(again, same, "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(least).select(*fields(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
