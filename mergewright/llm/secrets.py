@@ -8,7 +8,8 @@ ids hash lowest) 0, and what the patterns find there, with as many strings from
 Spans are in code points, end exclusive. redact() replaces them, from which the text's digests and lengths follow.
 
 Defined results: null and empty texts have no spans; an empty table gives no rows and models that rest on the generator alone;
-repeated rows are scanned each; other columns are ignored (redact() keeps them).
+very long texts are scanned whole; repeated rows and rows that share an id or have none are scanned each; other columns are ignored (redact() keeps
+them, whatever their names).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import cut, drop, map_rows, read, small_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -114,9 +115,10 @@ def default_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_tokens: int =
 
     key = F.xxhash64(F.col("doc_id").cast("string"))
     some = docs.select("text", key.alias("k"), F.col("doc_id").cast("string").alias("i")).where("text is not null")
-    ids = some.select("k", "i").orderBy("k", "i").limit(n_docs).agg(F.max("k")).first()[0]
-    found = some.where(F.col("k") <= F.lit(ids if ids is not None else 0)).select("text").mapInArrow(run, "token string, label int").distinct()
-    found = [found.where(F.col("label") == k).orderBy(F.xxhash64("token"), "token").limit(n_tokens).toPandas() for k in (0, 1)]
+    last = some.select("k", "i").orderBy("k", "i").limit(n_docs).agg(F.max("k")).first()[0]
+    words = cut(some.where(F.col("k") <= F.lit(last if last is not None else 0)).select("text").mapInArrow(run, "token string, label int").distinct(), "words")
+    found = [words.where(F.col("label") == k).orderBy(F.xxhash64("token"), "token").limit(n_tokens).toPandas() for k in (0, 1)]
+    drop(words)
     return pd.concat([*found, pd.DataFrame({"token": generated(), "label": 1})], ignore_index=True)
 
 
@@ -148,7 +150,7 @@ def report(docs: DataFrame, samples: pd.DataFrame | None = None, margin: float =
 def redact(docs: DataFrame, samples: pd.DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """The documents with every span replaced by <secret:kind> (overlapping spans by one, of the first one's kind); n_chars, if there, follows."""
     ratio = Ratio.train(default_samples(docs) if samples is None else samples)
-    at, schema = docs.columns.index("text"), docs.schema
+    at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
         if not text or not (spans := scan(text, ratio, margin)):
@@ -164,8 +166,8 @@ def redact(docs: DataFrame, samples: pd.DataFrame | None = None, margin: float =
         for b in small_batches(batches, at):
             yield pa.RecordBatch.from_arrays([pa.array(map(clean, c.to_pylist()), c.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = map_rows(docs, run)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
