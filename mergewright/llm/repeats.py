@@ -3,36 +3,38 @@
 Equal texts are found by a digest first: such a text repeats as a whole, and one of them stands for all in what follows. A
 window (LENGTH bytes at one place) belongs to its anchor, the least hash of the GRAM-byte strings in it, so equal windows have equal anchors.
 Runs of windows with one anchor value are stretches; only those whose anchor stands at two places or more can hold a repeated
-window. Their bytes, equal ones once, are dealt by anchor to shards of about SHARD bytes. In each shard one suffix array with
-common-prefix lengths (suffix.py: external induced sorting) tells the windows that have a match, which go back to the documents.
+window. Their bytes, equal ones once, are dealt by anchor to shards of about SHARD bytes, or larger ones where that would be over SHARDS of them. A shard's
+task streams its text into a file and sorts its suffixes there with common-prefix lengths (suffix.py: external induced sorting with a memory budget
+well under a shard), which tells the windows that have a match; they go back to the documents.
 
 An anchor with very many different stretches (over HOT bytes) is split: by the distance from anchor to window, in ranges of STEP, and by
 a hash of the bytes that all windows of that range hold. What is hot even then is split into single windows, by their own bytes.
 
-Positions are judged on the input. Defined results: null text is empty; texts under LENGTH bytes and empty ones lose nothing; rows with a null
-id and repeated rows count as documents of their own; an empty table gives no rows; other columns are ignored.
+Positions are judged on the input. Defined results: null text is empty; texts under LENGTH bytes and empty ones lose nothing; very long texts are read
+whole; rows with a null id and repeated rows count as documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_dir
-from .common import cut, read, small_batches
+from .common import cut, cut_tables, drop, drop_since, read, small_batches
 from .shingles import _power_tables, mix
-from .suffix import suffix_array
+from .suffix import BUDGET, PAD, scratch, sorted_suffixes
 
 LENGTH = 200
 GRAM = 40
 STEP = 16
 HOT = 1 << 20
 SHARD = 1 << 22
+#: Beyond so many shards they grow instead; a shard may be far larger than memory.
+SHARDS = 20_000
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -182,53 +184,83 @@ def spread(all_pieces: DataFrame) -> DataFrame:
         if not hot.take(1):
             break
         fine = split(all_pieces.join(hot, "anchor", "left_semi").select(*[x.split()[0] for x in PIECES.split(", ")]), step)
-        all_pieces = cut(all_pieces.join(hot, "anchor", "left_anti").unionByName(fine), "pieces")
+        before, all_pieces = all_pieces, cut(all_pieces.join(hot, "anchor", "left_anti").unionByName(fine), "pieces")
+        drop(before, hot)
     return all_pieces
 
 
-def matched_windows(parts: list[bytes], folder: str | None = None) -> list[list[tuple[int, int]]]:
-    """Of each part, the runs (first window, number) of windows that also start elsewhere in the parts. 255 stands in no UTF-8 text and parts them."""
-    t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)
-    sa, lcp = suffix_array(t, LENGTH, folder=folder)
-    long_ = np.flatnonzero(lcp >= LENGTH)
-    hit = np.zeros(len(t), bool)
-    hit[sa[long_]] = True
-    hit[sa[long_ - 1]] = True
-    firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    room = np.repeat(firsts[1:] - 1, np.diff(firsts)) - np.arange(len(t))
-    hit &= room >= LENGTH
-    edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    of = np.searchsorted(firsts, starts, side="right") - 1
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
-    for k, a, b in zip(of, starts, stops):
-        out[k].append((int(a - firsts[k]), int(b - a)))
-    return out
+def matched_windows(path: str, firsts: np.ndarray, folder: str, budget: int = BUDGET, told: dict | None = None):
+    """Of each part of a text in a file (its parts end in 255, which stands in no UTF-8 text; firsts: where each begins, and where the last one ends), the runs
+    (first window, number) of windows that also start elsewhere in the text."""
+    n = int(firsts[-1])
+    hit = np.memmap(f"{folder}/hits", np.uint8, "w+", shape=(n,))
+    before = None
+    for pos, lcp in sorted_suffixes(path, n, LENGTH, folder, budget, told):
+        long_ = np.flatnonzero(lcp >= LENGTH)
+        hit[pos[long_]] = 1
+        hit[np.concatenate([pos[:1] if before is None else before, pos[:-1]])[long_]] = 1
+        before = pos[-1:]
+    lo = 0
+    while lo < len(firsts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(firsts, firsts[lo] + BUDGET, side="right")) - 1)
+        base, own = int(firsts[lo]), firsts[lo : hi + 1]
+        room = np.repeat(own[1:] - 1, np.diff(own)) - np.arange(base, int(firsts[hi]))
+        good = (hit[base : int(firsts[hi])] > 0) & (room >= LENGTH)
+        edge = np.diff(np.concatenate([[False], good, [False]]).astype(np.int8))
+        starts, stops = np.flatnonzero(edge == 1) + base, np.flatnonzero(edge == -1) + base
+        of = np.searchsorted(own, starts, side="right") - 1
+        out: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
+        for k, x, y in zip(of, starts, stops):
+            out[k].append((int(x - own[k]), int(y - x)))
+        yield from out
+        lo = hi
+
+
+RUNS = "anchor long, cid binary, runs array<struct<first:int,n:int>>"
+_RUNS = (pa.int64(), pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))
+
+
+def shard_runs(batches, budget: int = BUDGET):
+    """Batches of one shard (anchor, cid, n, piece) -> RUNS of the pieces with repeated windows. The shard's text goes to a file as it comes."""
+    with scratch() as folder:
+        with open(f"{folder}/text", "wb") as text, open(f"{folder}/parts", "wb") as parts:
+            for b in small_batches(batches, 3):
+                for anchor, cid, n, piece in zip(*(c.to_pylist() for c in b.columns)):
+                    text.write(piece + b"\xff")
+                    np.array([(anchor, cid, n, len(piece))], _PART).tofile(parts)
+            text.write(bytes(LENGTH + PAD))
+        if not os.path.getsize(f"{folder}/parts"):
+            return
+        known = np.memmap(f"{folder}/parts", _PART, "r")
+        firsts = np.concatenate([[0], np.cumsum(known["length"].astype(np.int64) + 1)])
+        out = []
+        for part, runs in zip(known, matched_windows(f"{folder}/text", firsts, folder, budget)):
+            runs = [(0, int(part["length"]) - LENGTH + 1)] if part["n"] > 1 else runs
+            if runs:
+                out.append((int(part["anchor"]), part["cid"].tobytes(), [{"first": a, "n": k} for a, k in runs]))
+            if len(out) == 4000:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), _RUNS)], names=["anchor", "cid", "runs"])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), _RUNS)], names=["anchor", "cid", "runs"])
+
+
+_PART = np.dtype([("anchor", np.int64), ("cid", "V16"), ("n", np.int64), ("length", np.int64)])
 
 
 def repeated(texts: DataFrame) -> DataFrame:
     """h, text (each h once, texts of LENGTH bytes or more) -> h, spans: what is covered, as maximal spans (start, end) in bytes; texts without are absent."""
-    spark = texts.sparkSession
     keyed = texts.select("h", "text")
     own = cut(anchors(keyed).select("h", F.explode("anchors").alias("anchor")), "anchors")
     again = own.groupBy("anchor").count().where("count > 1").select("anchor")
     mine = own.distinct().join(again, "anchor", "left_semi").groupBy("h").agg(F.collect_list("anchor").alias("again"))
     found = cut(pieces(keyed.join(mine, "h").select("h", "text", "again")), "pieces")
+    drop(own)
     found = spread(found)
     different = found.groupBy("anchor", "cid", "piece").agg(F.count("*").alias("n"))
     total = found.agg(F.sum(F.length("piece"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD))
-    folder = shared_dir(spark)
-    folder = folder[7:] if folder.startswith("file:///") else folder if folder.startswith("/") else None
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = list(pdf.piece)
-        runs = matched_windows(parts, folder)
-        runs = [[(0, len(p) - LENGTH + 1)] if n > 1 else r for p, n, r in zip(parts, pdf.n, runs)]
-        return pd.DataFrame({"anchor": pdf.anchor, "cid": pdf.cid, "runs": [[{"first": a, "n": n} for a, n in r] for r in runs]})[[bool(r) for r in runs]]
-
-    different = different.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    told = different.groupBy("shard").applyInPandas(lambda key, pdf: run(key, pdf), "anchor long, cid binary, runs array<struct<first:int,n:int>>")
+    shards = min(SHARDS, max(1, -(-total // SHARD)))
+    told = different.repartition(shards, "anchor").select("anchor", "cid", "n", "piece").mapInArrow(shard_runs, RUNS)
     told = cut(told, "runs")
     spans = found.select("anchor", "cid", "h", "at").join(told, ["anchor", "cid"]).select("h", "at", F.explode("runs").alias("r"))
     spans = spans.select("h", (F.col("at") + F.col("r.first")).alias("start"), (F.col("at") + F.col("r.first") + F.col("r.n") + LENGTH - 1).alias("end"))
@@ -266,7 +298,9 @@ def removal(docs: DataFrame) -> DataFrame:
     if classes.where("rep.n > 1").take(1):
         texts = texts.dropDuplicates(["h"])
     texts = cut(texts, "text")
+    before = cut_tables()
     spans = cut(repeated(texts), "spans")
+    drop_since(before, spans)
 
     def run(batches):
         for b in small_batches(batches, 1):

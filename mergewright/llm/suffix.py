@@ -1,93 +1,146 @@
 """Suffix arrays with common-prefix lengths by external induced sorting.
 
 A text's suffixes fall into types S and L (smaller or larger than the suffix one to the right). The leftmost S of each run (LMS) are
-sorted first, by naming the pieces between them and sorting the shorter text of names, by the same method again while it
-exceeds BASE names, in memory by doubling below. All others are induced from them: suffixes are traversed in order, and each hands the suffix to
-its left to the bucket of that one's first character. The buckets form a priority queue keyed by character, whose items arrive in order inside
-each; its blocks go to files once it holds more than its budget. Along with each suffix travels the length it has in common with
-the one before it, capped: 1 more than the least among the sources between two that feed the same bucket.
+sorted first: the pieces between them are sorted by induction and named, and the shorter text of names is sorted in the same way, by recursion, until all
+names differ or stand for as many bytes as count. All other suffixes are induced from them: suffixes are traversed in order, and each hands the suffix to
+its left to the bucket of that one's first character.
 
-All steps work on blocks of suffixes at a time."""
+The buckets form a priority queue keyed by character, whose items (suffix and common-prefix length) arrive in order inside each. It holds `budget` bytes
+in memory; beyond that all it holds goes to files, one for each bucket. Text, names, LMS suffixes, sorted suffixes and lengths are files too, read through
+memory maps or a block at a time, so that a text may be far larger than memory: what is held at a time is the budget and a few blocks.
+
+Bytes have a bucket each, traversed as a stream. The names of an inner level may be as many as its characters, so there a bucket is a range of names that
+fits the budget. The suffixes of a range, with those that they induce inside it, are loaded and sorted by (character, source) with doubling along the
+chains of sources, which gives the order in which the traversal would have met them; a single name beyond the budget is a stream again.
+
+Along with each suffix of the text itself travels the length it has in common with the one before it, capped: 1 more than the least among the sources between
+two that feed the same bucket. The lengths of the LMS suffixes, where induction starts, are read off the text. Inner levels need no lengths and carry none."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
-from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 
-BASE = 1 << 22
+BUDGET = 1 << 19
 BLOCK = 1 << 16
+#: Zeros that follow a text in its file, beyond the cap.
+PAD = 16
 _LOG = np.zeros(BLOCK + 2, np.int64)
 _LOG[2:] = np.floor(np.log2(np.arange(2, BLOCK + 2))).astype(np.int64)
 
 
+@contextmanager
+def scratch(folder: str | None = None):
+    """A folder for the files of one task, deleted when it ends. Without one given it lies where Spark's own tasks spill on this machine; nothing in it
+    outlives the task or is read by another, which a lost executor's task does all over again."""
+    if folder is None:
+        folder = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d and os.path.isdir(d) and os.access(d, os.W_OK)), None)
+    made = tempfile.mkdtemp(prefix="suffixes-", dir=folder)
+    try:
+        yield made
+    finally:
+        shutil.rmtree(made, ignore_errors=True)
+
+
+class Log:
+    """A file of numbers that grows at its end."""
+
+    def __init__(self, folder: str, kind):
+        fd, self.path = tempfile.mkstemp(dir=folder)
+        self.file, self.kind, self.n = os.fdopen(fd, "wb", 1 << 16), np.dtype(kind), 0
+
+    def append(self, x: np.ndarray) -> None:
+        if len(x):
+            self.file.write(memoryview(np.ascontiguousarray(x, self.kind)).cast("B"))
+            self.n += len(x)
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        self.file.flush()
+        return np.fromfile(self.path, self.kind, hi - lo, offset=lo * self.kind.itemsize)
+
+    def blocks(self, lo: int = 0, hi: int | None = None):
+        hi = self.n if hi is None else hi
+        for a in range(lo, hi, BLOCK):
+            yield self.read(a, min(hi, a + BLOCK))
+
+    def back(self, lo: int = 0, hi: int | None = None):
+        """Blocks from the end, each from its end."""
+        hi = self.n if hi is None else hi
+        for b in range(hi, lo, -BLOCK):
+            yield self.read(max(lo, b - BLOCK), b)[::-1]
+
+    def map(self) -> np.ndarray:
+        self.file.flush()
+        return np.asarray(np.memmap(self.path, self.kind, "r", shape=(self.n,))) if self.n else np.zeros(0, self.kind)
+
+    def close(self) -> None:
+        self.file.close()
+        os.unlink(self.path)
+
+
 class Queue:
-    """Items (suffix, common length) by bucket, first in first out. Beyond `budget` bytes in memory, blocks go to files in `folder` (without one, they stay)."""
-
-    def __init__(self, budget: int = 1 << 26, folder: str | None = None):
-        self.budget, self.folder, self.held, self.blocks = budget, folder, 0, defaultdict(list)
-        self.spilled = 0
-
-    def push(self, bucket: int, pos: np.ndarray, lcp: np.ndarray | None) -> None:
-        block = (pos, lcp)
-        size = pos.nbytes + (0 if lcp is None else lcp.nbytes)
-        if self.folder and self.held + size > self.budget:
-            fd, path = tempfile.mkstemp(dir=self.folder, prefix="queue-")
-            with os.fdopen(fd, "wb") as f:
-                np.save(f, pos)
-                if lcp is not None:
-                    np.save(f, lcp)
-            self.blocks[bucket].append((path, lcp is not None))
+    """Items by bucket, first in first out; kinds: the types of an item's parts. Over `budget` bytes in memory, all goes to the buckets' files in `folder`."""
+
+    def __init__(self, folder: str, kinds, budget: int = BUDGET):
+        self.folder, self.kinds, self.budget = tempfile.mkdtemp(dir=folder), [np.dtype(k) for k in kinds], budget
+        self.held: dict[int, list[tuple]] = {}
+        self.size, self.files, self.spilled, self.rest = 0, {}, 0, 0
+
+    def push(self, bucket: int, *parts: np.ndarray) -> None:
+        self.held.setdefault(bucket, []).append(parts)
+        self.size += sum(p.nbytes for p in parts)
+        if self.size > self.budget:
+            self.spill()
+
+    def _path(self, bucket: int, part: int) -> str:
+        return f"{self.folder}/{bucket}-{part}"
+
+    def spill(self) -> None:
+        for bucket, some in self.held.items():
+            for k, kind in enumerate(self.kinds):
+                with open(self._path(bucket, k), "ab") as f:
+                    np.concatenate([parts[k] for parts in some]).astype(kind, copy=False).tofile(f)
+            written, taken = self.files.get(bucket, (0, 0))
+            self.files[bucket] = (written + sum(len(parts[0]) for parts in some), taken)
             self.spilled += 1
-        else:
-            self.held += size
-            self.blocks[bucket].append(block)
-
-    def _blocks(self, waiting):
-        for a, b in waiting:
-            if isinstance(a, str):
-                with open(a, "rb") as f:
-                    pos = np.load(f)
-                    lcp = np.load(f) if b else None
-                os.unlink(a)
-                yield pos, lcp
-            else:
-                self.held -= a.nbytes + (0 if b is None else b.nbytes)
-                yield a, b
+        self.held, self.size = {}, 0
 
     def pop(self, bucket: int):
-        """The items of a bucket so far, in order, some BLOCK at a time; more may be pushed meanwhile."""
-        join = lambda some: (np.concatenate([a for a, _ in some]), None if some[0][1] is None else np.concatenate([b for _, b in some]))
-        while waiting := self.blocks.pop(bucket, None):
-            some, n = [], 0
-            for block in self._blocks(waiting):
-                some.append(block)
-                n += len(block[0])
-                if n >= BLOCK:
-                    yield join(some)
-                    some, n = [], 0
-            if some:
-                yield join(some)
+        """The items of a bucket in order, BLOCK at most at a time; more may be pushed meanwhile. What is in its file came before what is held."""
+        while True:
+            written, taken = self.files.get(bucket, (0, 0))
+            if taken < written:
+                n = min(BLOCK, written - taken)
+                self.files[bucket], self.rest = (written, taken + n), 0
+                yield [np.fromfile(self._path(bucket, k), kind, n, offset=taken * kind.itemsize) for k, kind in enumerate(self.kinds)]
+            elif some := self.held.pop(bucket, None):
+                parts = [np.concatenate(p) if len(p) > 1 else p[0] for p in zip(*some)]
+                self.size -= sum(p.nbytes for p in parts)
+                for lo in range(0, len(parts[0]), BLOCK):
+                    self.rest = max(0, len(parts[0]) - lo - BLOCK)
+                    yield [p[lo : lo + BLOCK] for p in parts]
+            else:
+                break
+        if self.files.pop(bucket, None):
+            for k in range(len(self.kinds)):
+                os.unlink(self._path(bucket, k))
 
-    def close(self) -> None:
-        for blocks in self.blocks.values():
-            for a, _ in blocks:
-                if isinstance(a, str):
-                    os.unlink(a)
-        self.blocks.clear()
+    def emptied(self, bucket: int) -> bool:
+        """Whether what pop() gave last is all that the bucket holds."""
+        written, taken = self.files.get(bucket, (0, 0))
+        return not self.rest and taken == written and bucket not in self.held
 
+    def load(self, bucket: int) -> np.ndarray:
+        """All items of a bucket of one part."""
+        parts = [p[0] for p in self.pop(bucket)]
+        return np.concatenate(parts) if parts else np.zeros(0, self.kinds[0])
 
-def types(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes are S, and how often each one's first character stands at its start."""
-    n = len(t)
-    rising = np.zeros(n, np.int8)
-    rising[:-1] = np.sign(t[1:].astype(np.int64) - t[:-1].astype(np.int64))
-    rising[-1] = -1
-    at = np.where(rising != 0, np.arange(n), n)
-    change = np.minimum.accumulate(at[::-1])[::-1]
-    return rising[change] > 0, change - np.arange(n) + 1
+    def close(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
 
 
 class Feed:
@@ -125,84 +178,292 @@ class Feed:
         np.minimum(self.since, int(lcp.min()), out=self.since)
 
 
-def induce(t: np.ndarray, s: np.ndarray, run: np.ndarray, seeds: np.ndarray, seed_lcp: np.ndarray | None, cap: int, budget: int, folder: str | None):
-    """All suffixes in order, and the lengths (None without seed_lcp), from the LMS suffixes in order."""
-    sigma, n = int(t.max()) + 1, len(t)
-    carry = seed_lcp is not None
-    kind = np.uint8 if cap < 256 else np.int64
-    chars, counts = np.unique(t, return_counts=True)
-    seed_at = np.searchsorted(t[seeds], np.arange(sigma + 1)) if sigma < 1 << 16 else None
-    seed_chars = t[seeds]
-
-    def feed(queue, state, pos, lcp, wanted):
-        for lo in range(0, len(pos), BLOCK):
-            p = pos[lo : lo + BLOCK]
-            own = None if lcp is None else lcp[lo : lo + BLOCK]
-            at = np.flatnonzero(p > 0)
-            at = at[s[p[at] - 1] == wanted]
-            if not len(at):
-                if carry:
-                    state.skip(own)
-                continue
-            ch = t[p[at] - 1]
-            order = np.argsort(ch, kind="stable")
-            at, ch = at[order], ch[order]
-            new = state.lengths(own, at, ch.astype(np.int64)) if carry else None
-            to = p[at] - 1
-            edge = [0, *(np.flatnonzero(ch[1:] != ch[:-1]) + 1), len(ch)]
-            for a, b in zip(edge, edge[1:]):
-                queue.push(int(ch[a]), to[a:b], None if new is None else new[a:b])
-
-    larger, state, found = Queue(budget, folder), Feed(sigma, cap) if carry else None, {}
-    larger.push(int(t[-1]), np.array([n - 1]), np.zeros(1, kind) if carry else None)
+def lms_blocks(t: np.ndarray):
+    """The LMS suffixes in the order of the text, block by block."""
+    n, before = len(t), True
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        x = t[lo : min(n, hi + 1)].astype(np.int64)
+        step = np.sign(np.diff(x))
+        if hi == n:
+            step = np.append(step, -1)
+        elif step[-1] == 0:  # the run goes on: what ends it says
+            for a in range(hi, n, BLOCK):
+                other = np.flatnonzero(t[a : a + BLOCK] != t[hi - 1])
+                if len(other):
+                    step[-1] = 1 if t[a + other[0]] > t[hi - 1] else -1
+                    break
+            else:
+                step[-1] = -1
+        at = np.where(step != 0, np.arange(len(step)), len(step))
+        s = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+        yield lo + np.flatnonzero(s & ~np.concatenate([[before], s[:-1]]))
+        before = bool(s[-1])
+
+
+def ranges(t: np.ndarray, lo: int, hi: int, most: int) -> list[int]:
+    """The first characters of ranges that cover [lo, hi) and have `most` suffixes at most, but for single characters."""
+    width = max(1, -(-(hi - lo) // 4096))
+    counts = np.zeros(-(-(hi - lo) // width), np.int64)
+    for a in range(0, len(t), BLOCK):
+        x = t[a : a + BLOCK].astype(np.int64)
+        counts += np.bincount((x[(x >= lo) & (x < hi)] - lo) // width, minlength=len(counts))
+    out, room = [], -1
+    for i, k in enumerate(counts.tolist()):
+        first = lo + i * width
+        if k > most and width > 1:
+            out += ranges(t, first, min(hi, first + width), most)
+            room = -1
+        elif k > room:
+            out.append(first)
+            room = most - k
+        else:
+            room -= k
+    return out
+
+
+def settle(t: np.ndarray, items: np.ndarray, terms: np.ndarray, lo: int, hi: int, sign: int):
+    """One range of a traversal. items: the suffixes that arrived, in order; terms: those sorted before (LMS when larger ones are induced, sign 1; larger
+    ones when smaller ones are, sign -1), in the order of the traversal. -> all suffixes of the range in that order, the character each induces (-1: none),
+    and which are terms.
+
+    In a traversal the suffixes of a character that came from outside of the range stand first, as they arrived; others follow in the order of their sources."""
+    pos, source, term, chars = [np.concatenate([items, terms])], [np.full(len(items) + len(terms), -1)], np.arange(len(items) + len(terms)) >= len(items), []
+    known, held = 0, term
+    while len(pos[-1]):
+        p = pos[-1]
+        c = np.full(len(p), -1)
+        has = p > 0
+        c[has] = t[p[has] - 1]
+        here = t[p].astype(np.int64)
+        c[~(has & (sign * c > sign * here) | has & (c == here) & ~held)] = -1
+        chars.append(c)
+        inside = np.flatnonzero((c >= lo) & (c < hi))
+        pos.append(p[inside] - 1)
+        source.append(known + inside)
+        known += len(p)
+        held = np.zeros(len(inside), bool)
+    pos, source, chars = np.concatenate(pos), np.concatenate(source), np.concatenate(chars) if chars else np.zeros(0, np.int64)
+    n = len(pos)
+    if not n:
+        return pos, chars, term
+    term = np.concatenate([term, np.zeros(n - len(term), bool)])
+    c = t[pos].astype(np.int64)
+    first = 2 * (c - lo if sign > 0 else hi - 1 - c) + term
+    rank = np.concatenate([n + first, np.arange(n)])  # a suffix's own, then the places of those that have no source here
+    after = np.concatenate([np.where(source >= 0, source, n + np.arange(n)), n + np.arange(n)])
+    key = rank[:n] * (rank.max() + 1) + rank[after[:n]]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    slots = np.arange(n)
+    while True:  # a rank is the first place of those that are still alike
+        rank[order[slots]] = n + slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        alike = ~new
+        alike[:-1] |= ~new[1:]
+        slots = slots[alike]
+        if not len(slots):
+            return pos[order], chars[order], term[order]
+        after[:n] = after[after[:n]]
+        own = order[slots]
+        by = np.lexsort((rank[after[own]], rank[own]))
+        own = own[by]
+        order[slots] = own
+        one, two = rank[own], rank[after[own]]
+        new = np.ones(len(own), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+
+
+FEW = 256
+
+
+def chains(t: np.ndarray, pos: np.ndarray, lcp: np.ndarray | None, c: int, cap: int):
+    """Few suffixes that begin with c and are all that their bucket holds: with those that they induce in that same bucket, one after another along runs of c, which
+    would else take a turn for every character of a run. -> suffixes in order and their lengths, then those with which the runs go on beyond BLOCK
+    items and their lengths; None if no run goes on, or if the runs that they begin with differ, so that they are of different turns."""
+    m = len(pos)
+    reach = BLOCK // m
+    at = pos[:, None].astype(np.int64) - 1 - np.arange(reach)
+    runs = np.concatenate([(at >= 0) & (t[np.maximum(at, 0)] == c), np.zeros((m, 1), bool)], axis=1).argmin(1)
+    if not runs.any():
+        return None
+    more = int(runs.max()) == reach
+    turns = np.arange(min(int(runs.max()), reach) + 1)
+    alive = runs >= turns[:, None]
+    lens = None
+    if lcp is not None:
+        ahead = pos[:, None].astype(np.int64) + np.arange(cap + 1)
+        heading = ((ahead < len(t)) & (np.arange(cap + 1) < cap) & (t[np.minimum(ahead, len(t) - 1)] == c)).argmin(1)
+        run = int(heading[0])
+        if (heading != run).any():
+            return None
+        lens, low = np.empty((len(turns), m), np.int64), np.full(len(turns), cap)
+        for i in range(m):
+            low = np.minimum(low, int(lcp[i]))
+            lens[:, i] = low + turns
+            low[alive[:, i]] = cap
+        heads = alive.argmax(1)
+        lens[turns[1:], heads[1:]] = run + turns[1:] - 1
+        lens[0] = lcp
+        lens = np.minimum(lens, cap).astype(lcp.dtype)
+    k, i = np.nonzero(alive)
+    every, lens = (pos[i] - k).astype(pos.dtype), None if lens is None else lens[k, i]
+    stop = np.searchsorted(k, reach) if more else len(k)
+    return every[:stop], None if lens is None else lens[:stop], every[stop:], None if lens is None else lens[stop:]
+
+
+class Seeds:
+    """The LMS suffixes in order, taken from their file as far as a character."""
+
+    def __init__(self, t: np.ndarray, pos: Log, lcp: Log | None):
+        self.t, self.pos, self.lcp, self.at = t, pos, lcp, 0
+        self.own = self.chars = np.zeros(0, np.int64)
+        self.lens = None
+
+    def take(self, stop: int):
+        while True:
+            if not len(self.own):
+                if self.at >= self.pos.n:
+                    return
+                hi = min(self.pos.n, self.at + BLOCK)
+                self.own, self.lens = self.pos.read(self.at, hi), None if self.lcp is None else self.lcp.read(self.at, hi)
+                self.chars, self.at = self.t[self.own].astype(np.int64), hi
+            k = int(np.searchsorted(self.chars, stop))
+            if not k:
+                return
+            got = self.own[:k], None if self.lens is None else self.lens[:k]
+            self.own, self.chars, self.lens = self.own[k:], self.chars[k:], None if self.lens is None else self.lens[k:]
+            yield got
+
+
+def _joined(blocks, kind) -> np.ndarray:
+    parts = list(blocks)
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def induce(t: np.ndarray, sigma: int, bounds: list[int], seeds: Log, seed_lcp: Log | None, cap: int, budget: int, folder: str, told: dict, only_lms: bool = False) -> tuple[Log, Log | None]:
+    """All suffixes, or only the LMS ones, from the last to the first, and each one's length in common with the next smaller (None without seed_lcp). seeds: the
+    LMS suffixes in order. bounds: the first characters of the buckets; with lengths, every bucket is a single character."""
+    n, carry, kind = len(t), seed_lcp is not None, seeds.kind
+    small = np.dtype(np.uint8 if cap < 256 else np.int64)
+    kinds = (kind, small) if carry else (kind,)
+    first = np.array(bounds, np.int64)
+    stops = np.append(first[1:], sigma)
+
+    def send(queue: Queue, to: np.ndarray, chars: np.ndarray, lens=None) -> None:
+        """Suffixes in order, each into the bucket of its character."""
+        bucket = (np.searchsorted(first, chars, side="right") - 1).astype(np.min_scalar_type(len(first)))
+        order = np.argsort(bucket, kind="stable")
+        bucket, to = bucket[order], to[order]
+        edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+        for a, b in zip(edge, edge[1:]):
+            if b > a:
+                queue.push(int(bucket[a]), to[a:b], *(() if lens is None else (lens[a:b],)))
+
+    def stream(queue: Queue, b: int, c: int):
+        """A bucket's blocks of suffixes and lengths, and whether those that they induce in the bucket itself are among them."""
+        for pos, *lcp in queue.pop(b):
+            lens = lcp[0] if carry else None
+            if len(pos) <= FEW and queue.emptied(b) and (got := chains(t, pos, lens, c, cap)):
+                yield got[0], got[1], True
+                if len(got[2]):
+                    queue.push(b, *got[2:] if carry else got[2:3])
+            else:
+                yield pos, lens, False
+
+    def feed(queue: Queue, state: Feed | None, pos: np.ndarray, lcp, c: int, held: bool, sign: int) -> np.ndarray:
+        """What a block of suffixes that begin with c induces (held: but for others that do too); -> the character before each (-1: none)."""
+        before = np.full(len(pos), -1)
+        has = pos > 0
+        before[has] = t[pos[has] - 1]
+        at = np.flatnonzero(has & ((sign * before > sign * c) | ((before == c) & (not held))))
+        if not len(at):
+            if carry:
+                state.skip(lcp)
+            return before
+        at = at[np.argsort(before[at].astype(np.min_scalar_type(sigma)), kind="stable")]
+        ch = before[at]
+        send(queue, pos[at] - 1, ch, state.lengths(lcp, at, ch) if carry else None)
+        return before
+
+    def edge_of(a: int, b: int) -> int:
+        """What a larger and a smaller suffix of one character have in common: it, as often as the shorter run has it."""
+        run = []
+        for p in (a, b):
+            own = t[p : p + cap]
+            other = np.flatnonzero(own != own[0])
+            run.append(int(other[0]) if len(other) else len(own))
+        return min(cap, *run)
+
+    larger, state = Queue(folder, kinds, budget), Feed(sigma, cap) if carry else None
+    found, found_lcp, marks, reader = Log(folder, kind), Log(folder, small) if carry else None, [], Seeds(t, seeds, seed_lcp)
+    end = np.array([n - 1], kind)
+    send(larger, end, t[end].astype(np.int64), np.zeros(1, small) if carry else None)
     if carry:
-        state.seen[t[-1]] = True
-        state.since[t[-1]] = 0
-    try:
-        for c in map(int, chars):
-            parts = []
-            for pos, lcp in larger.pop(c):
-                parts.append((pos, lcp))
-                feed(larger, state, pos, lcp, False)
-            if parts:
-                found[c] = (np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]) if carry else None)
-            lo, hi = (seed_at[c], seed_at[c + 1]) if seed_at is not None else np.searchsorted(seed_chars, [c, c + 1])
-            if hi > lo:
-                pos, lcp = seeds[lo:hi], None
-                if carry:
-                    lcp = seed_lcp[lo:hi].astype(kind)
-                    lcp[0] = min(cap, run[pos[0]], run[found[c][0][-1]]) if c in found else 0
-                feed(larger, state, pos, lcp, False)
-    finally:
-        larger.close()
-    smaller, state, out, lens = Queue(budget, folder), Feed(sigma, cap) if carry else None, [], []
-    try:
-        for c in map(int, chars[::-1]):
-            parts = []
-            for pos, lcp in smaller.pop(c):
-                parts.append((pos, lcp))
-                feed(smaller, state, pos, lcp, True)
-            if parts:
-                pos = np.concatenate([p for p, _ in parts])[::-1]
-                if carry:
-                    arrived = np.concatenate([x for _, x in parts])[::-1]
-                    lcp = np.concatenate([[0], arrived[:-1]]).astype(kind)
-                    lcp[0] = min(cap, run[pos[0]], run[found[c][0][-1]]) if c in found else 0
-                    lens.append(lcp)
-                    edge = lcp[0]
-                out.append(pos)
-            if c in found:
-                pos, lcp = found.pop(c)
-                back = None
-                if carry:
-                    back = np.concatenate([lcp[1:], [0]])[::-1].astype(kind)
-                    back[0] = edge if parts else 0
-                    lens.append(lcp)
+        state.seen[t[n - 1]] = True
+        state.since[t[n - 1]] = 0
+    tops = {}
+    for b, (lo, hi) in enumerate(zip(first.tolist(), stops.tolist())):
+        marks.append(found.n)
+        if hi - lo > 1:
+            pos, ch, term = settle(t, larger.load(b), _joined((p for p, _ in reader.take(hi)), kind), lo, hi, 1)
+            found.append(pos[~term])
+            out = ch >= hi
+            send(larger, pos[out] - 1, ch[out])
+            continue
+        for pos, lcp, whole in stream(larger, b, lo):
+            found.append(pos)
+            if carry:
+                found_lcp.append(lcp)
+                tops[b] = int(pos[-1])
+            feed(larger, state, pos, lcp, lo, whole, 1)
+        begun = False
+        for pos, lcp in reader.take(hi):
+            if carry and not begun:
+                lcp[0] = edge_of(tops[b], int(pos[0])) if b in tops else 0
+                begun = True
+            feed(larger, state, pos, lcp, lo, True, 1)
+    marks.append(found.n)
+    told["spilled"] = told.get("spilled", 0) + larger.spilled
+    larger.close()
+    smaller, state = Queue(folder, kinds, budget), Feed(sigma, cap) if carry else None
+    out, out_lcp = Log(folder, kind), Log(folder, small) if carry else None
+    for b in range(len(first) - 1, -1, -1):
+        lo, hi, a, z = int(first[b]), int(stops[b]), marks[b], marks[b + 1]
+        if hi - lo > 1:
+            pos, ch, term = settle(t, smaller.load(b), _joined(found.back(a, z), kind), lo, hi, -1)
+            out.append(pos[~term & (pos > 0) & (ch < 0)] if only_lms else pos)
+            to = (ch >= 0) & (ch < lo)
+            send(smaller, pos[to] - 1, ch[to])
+            continue
+        last, edge = None, 0
+        for pos, lcp, whole in stream(smaller, b, lo):
+            before = feed(smaller, state, pos, lcp, lo, whole, -1)
+            out.append(pos[before > lo] if only_lms else pos)
+            if carry:
+                out_lcp.append(lcp if last is not None else lcp[1:])
+                last = int(pos[-1])
+        if last is not None:
+            edge = edge_of(tops[b], last) if z > a else 0
+            out_lcp.append(np.array([edge]))
+        lens = found_lcp.back(a, z) if carry else None
+        for pos in found.back(a, z):
+            own = None
+            if not only_lms:
                 out.append(pos)
-                feed(smaller, state, pos[::-1], back, True)
-    finally:
-        smaller.close()
-    return np.concatenate(out[::-1]), np.concatenate(lens[::-1]) if carry else None
+            if carry:
+                lcp = next(lens)
+                out_lcp.append(lcp)
+                own = np.concatenate([[edge], lcp[:-1]]).astype(small)
+                edge = int(lcp[-1])
+            feed(smaller, state, pos, own, lo, True, -1)
+    told["spilled"] += smaller.spilled
+    smaller.close()
+    found.close()
+    if carry:
+        found_lcp.close()
+    return out, out_lcp
 
 
 def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -218,36 +479,6 @@ def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np
     return ok
 
 
-def _doubling(names: np.ndarray, enough: int) -> np.ndarray:
-    """The order of the suffixes of a short text; ties in the first `enough` characters may stay in any order."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    _, rank = np.unique(rank, return_inverse=True)
-    sorted_rank = rank[order]
-    start = np.searchsorted(sorted_rank, sorted_rank)
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    while width < enough:
-        r = rank[order]
-        tied = np.zeros(n, bool)
-        tied[1:] = r[1:] == r[:-1]
-        tied[:-1] |= tied[1:]
-        where = np.flatnonzero(tied)
-        if not len(where):
-            break
-        own = order[where]
-        second = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], -1)
-        by = np.lexsort((second, rank[own]))
-        own, second = own[by], second[by]
-        first = rank[own]
-        order[where] = own
-        new = np.ones(len(own), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        rank[own] = where[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
-        width *= 2
-    return order
-
-
 def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """The length that the suffixes at a and b have in common, up to cap, eight bytes at a time. t: bytes without 0 in common, followed by zeros enough."""
     words = np.lib.stride_tricks.as_strided(t, (len(t) - 7, 8), (1, 1))
@@ -264,45 +495,114 @@ def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     return np.minimum(out, cap)
 
 
-def lms_order(t: np.ndarray, s: np.ndarray, run: np.ndarray, cap: int, budget: int, folder: str | None, base: int) -> np.ndarray:
-    """The LMS suffixes in order, as far as the first cap characters tell."""
-    lms = np.flatnonzero(s & ~np.concatenate([[True], s[:-1]]))
-    if len(lms) < 2:
+def by_character(t: np.ndarray, bounds: list[int], stops: list[int], some: Log, budget: int, folder: str) -> Log:
+    """Suffixes in the order of their first characters."""
+    queue, out, first = Queue(folder, (some.kind,), budget), Log(folder, some.kind), np.array(bounds, np.int64)
+    for pos in some.blocks():
+        bucket = (np.searchsorted(first, t[pos], side="right") - 1).astype(np.min_scalar_type(len(first)))
+        order = np.argsort(bucket, kind="stable")
+        edge = [0, *(np.flatnonzero(bucket[order[1:]] != bucket[order[:-1]]) + 1), len(order)]
+        for a, b in zip(edge, edge[1:]):
+            queue.push(int(bucket[order[a]]), pos[order[a:b]])
+    for b, (lo, hi) in enumerate(zip(bounds, stops)):
+        if hi - lo == 1:
+            for (pos,) in queue.pop(b):
+                out.append(pos)
+        else:
+            pos = queue.load(b)
+            out.append(pos[np.argsort(t[pos], kind="stable")])
+    queue.close()
+    return out
+
+
+def named(t: np.ndarray, lms: Log, order: Log, folder: str) -> tuple[str, int]:
+    """A file with a number for each LMS suffix in the order of the text, equal for equal pieces up to the next one and rising with them, and how many numbers
+    there are. order: the LMS suffixes from the largest piece to the smallest."""
+    where, fd_path = lms.map(), tempfile.mkstemp(dir=folder)
+    os.close(fd_path[0])
+    names = np.memmap(fd_path[1], np.int32, "w+", shape=(lms.n,))
+    k, tail, tail_length = -1, np.zeros(0, lms.kind), np.zeros(0, np.int64)
+    for pos in order.back():
+        at = np.searchsorted(where, pos)
+        length = np.where(at < lms.n - 1, where[np.minimum(at + 1, lms.n - 1)].astype(np.int64) - pos + 1, -1)  # the last one runs into the end
+        both, lengths = np.concatenate([tail, pos]), np.concatenate([tail_length, length])
+        new = np.ones(len(both), bool)
+        same = np.flatnonzero((lengths[1:] == lengths[:-1]) & (lengths[1:] > 0)) + 1
+        new[same] = ~_same(t, both[same - 1], both[same], lengths[same])
+        numbers = k + np.cumsum(new[len(tail) :])
+        names[at] = numbers
+        k, tail, tail_length = int(numbers[-1]), both[-1:], lengths[-1:]
+    names.flush()
+    return fd_path[1], k + 1
+
+
+def lms_order(t: np.ndarray, sigma: int, bounds: list[int], cap: int, level: int, budget: int, folder: str, told: dict) -> Log:
+    """The LMS suffixes, as far as the first cap bytes of the text tell, from the last to the first."""
+    told["levels"] = max(told.get("levels", 0), level + 1)
+    lms = Log(folder, np.int32 if len(t) < 1 << 31 else np.int64)
+    for pos in lms_blocks(t):
+        lms.append(pos)
+    if lms.n < 2:
         return lms
-    rough = lms[np.argsort(t[lms], kind="stable")]
-    order, _ = induce(t, s, run, rough, None, cap, budget, folder)
-    number = np.full(len(t), -1, np.int64)
-    number[lms] = np.arange(len(lms))
-    order = order[number[order] >= 0]
-    ends = np.append(lms[1:], len(t) - 1)
-    length = ends[number[order]] - order + 1
-    new = np.ones(len(order), bool)
-    same = np.flatnonzero(length[1:] == length[:-1]) + 1
-    new[same] = ~_same(t, order[same - 1], order[same], length[same])
-    new[np.flatnonzero(number[order] == len(lms) - 1)] = True  # the last one runs into the end
-    after = np.flatnonzero(number[order] == len(lms) - 1) + 1
-    new[after[after < len(order)]] = True
-    names = np.empty(len(lms), np.int64)
-    names[number[order]] = np.cumsum(new) - 1
-    if new.all():
-        return order
-    if len(names) > base:
-        s2, run2 = types(names)
-        inner = lms_order(names, s2, run2, cap, budget, folder, base)
-        full, _ = induce(names, s2, run2, inner, None, cap, budget, folder)
-        return lms[full]
-    return lms[_doubling(names, cap)]
-
-
-def suffix_array(t: np.ndarray, cap: int = 200, budget: int = 1 << 26, folder: str | None = None, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """t: bytes -> the suffixes in order, as far as the first cap bytes tell, and the length each has in common with the one before, up to cap."""
-    if not len(t):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    s, run = types(t)
-    seeds = lms_order(t, s, run, cap, budget, folder, base)
-    padded = np.concatenate([t, np.zeros(cap + 16, np.uint8)])
-    lcp = np.zeros(len(seeds), np.int64)
-    if len(seeds) > 1:
-        a, b = seeds[:-1], seeds[1:]
-        lcp[1:] = np.minimum(common(padded, a, b, cap), len(t) - np.maximum(a, b))
-    return induce(t, s, run, seeds, lcp, cap, budget, folder)
+    rough = by_character(t, bounds, [*bounds[1:], sigma], lms, budget, folder)
+    order, _ = induce(t, sigma, bounds, rough, None, cap, budget, folder, told, only_lms=True)
+    rough.close()
+    path, k = named(t, lms, order, folder)
+    if k < lms.n and 2 << level < cap:  # two characters at least from one LMS suffix to the next
+        order.close()
+        inner = suffixes(np.asarray(np.memmap(path, np.int32, "r", shape=(lms.n,))), k, cap, level + 1, budget, folder, told)
+        order, where = Log(folder, lms.kind), lms.map()
+        for at in inner.blocks():
+            order.append(where[at])
+        inner.close()
+    os.unlink(path)
+    lms.close()
+    return order
+
+
+def rising(order: Log, folder: str) -> Log:
+    out = Log(folder, order.kind)
+    for pos in order.back():
+        out.append(pos)
+    order.close()
+    return out
+
+
+def suffixes(t: np.ndarray, sigma: int, cap: int, level: int, budget: int, folder: str, told: dict) -> Log:
+    """All suffixes of a text of names, from the last to the first."""
+    bounds = ranges(t, 0, sigma, max(1, budget // 8))
+    seeds = rising(lms_order(t, sigma, bounds, cap, level, budget, folder, told), folder)
+    out, _ = induce(t, sigma, bounds, seeds, None, cap, budget, folder, told)
+    seeds.close()
+    return out
+
+
+def sorted_suffixes(path: str, n: int, cap: int, folder: str, budget: int = BUDGET, told: dict | None = None):
+    """path: a file of n bytes and cap + PAD zeros -> blocks of the suffixes in order, as far as the first cap bytes tell, and of the length each has in
+    common with the one before, up to cap. told gets how many levels there were and how many times a bucket went to its file."""
+    told = {} if told is None else told
+    if not n:
+        return
+    padded = np.asarray(np.memmap(path, np.uint8, "r", shape=(n + cap + PAD,)))
+    t, bounds = padded[:n], list(range(256))
+    seeds = rising(lms_order(t, 256, bounds, cap, 0, budget, folder, told), folder)
+    lcp, before = Log(folder, np.uint8 if cap < 256 else np.int64), None
+    for pos in seeds.blocks():
+        a = np.concatenate([pos[:1] if before is None else before, pos[:-1]])
+        lcp.append(np.minimum(common(padded, a, pos, cap), n - np.maximum(a, pos)))
+        before = pos[-1:]
+    out, out_lcp = induce(t, 256, bounds, seeds, lcp, cap, budget, folder, told)
+    seeds.close()
+    lcp.close()
+    yield from zip(out.back(), out_lcp.back())
+
+
+def suffix_array(t: np.ndarray, cap: int = 200, budget: int = BUDGET, folder: str | None = None, told: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """sorted_suffixes() of bytes in memory, as a whole."""
+    with scratch(folder) as own:
+        with open(f"{own}/text", "wb") as f:
+            f.write(t.tobytes() + bytes(cap + PAD))
+        blocks = list(sorted_suffixes(f"{own}/text", len(t), cap, own, budget, told))
+    if not blocks:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    return np.concatenate([p for p, _ in blocks]), np.concatenate([x for _, x in blocks])

@@ -11,9 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mergewright.llm import bpe, media, mixing, neardup, quality, repeats, secrets, sharding, topk, toxicity
+from mergewright.llm import bpe, media, mixing, neardup, quality, repeats, secrets, sharding, suffix, topk, toxicity
 from mergewright.llm.shingles import shingle_sets
-from mergewright.llm.suffix import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, size int, h string, key string, root string"
 
@@ -52,24 +51,36 @@ def test_sharding(spark, few, empty):
         assert not any(o != shard and o.startswith(shard) for o in by)
 
 
+def brute_repeats(rows, n=200):
+    raw = [(i, (t or "").encode()) for i, t, _ in rows]
+    seen = Counter(b[k : k + n] for _, b in raw for k in range(len(b) - n + 1))
+    out = []
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if seen[b[k : k + n]] > 1:
+                gone[k : k + n] = b"\1" * n
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
 def test_repeats(spark, few, empty):
-    def brute(rows, n=200):
-        raw = [(i, (t or "").encode()) for i, t, _ in rows]
-        seen = Counter(b[k : k + n] for _, b in raw for k in range(len(b) - n + 1))
-        out = []
-        for i, b in raw:
-            gone = bytearray(len(b))
-            for k in range(len(b) - n + 1):
-                if seen[b[k : k + n]] > 1:
-                    gone[k : k + n] = b"\1" * n
-            kept = bytes(x for x, g in zip(b, gone) if not g)
-            out.append((i, len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-        return Counter(out)
-
-    assert Counter(tuple(r)[:5] for r in repeats.removal(docs(spark, few)).collect()) == brute(few)
+    assert Counter(tuple(r)[:5] for r in repeats.removal(docs(spark, few)).collect()) == brute_repeats(few)
     assert repeats.removal(empty).count() == 0
 
 
+def test_repeats_with_hot_anchors(spark, monkeypatch):
+    """Many different stretches around one passage, split twice over; shards that hold nothing."""
+    monkeypatch.setattr(repeats, "HOT", 3000)
+    monkeypatch.setattr(repeats, "SHARD", 2000)
+    r = random.Random(6)
+    core = "".join(r.choices("abcdefghij ", k=260))
+    rows = [(i, "".join(r.choices("klmnop", k=r.randint(0, 90))) + core[r.randint(0, 30) :] + "".join(r.choices("qrstu", k=r.randint(0, 90))), "a") for i in range(40)]
+    rows += [(100, "=" * 5000, "a"), (101, "=" * 300 + "x" + "=" * 700, "b"), (102, "é" * 400 + core, "a")]
+    assert Counter(tuple(x)[:5] for x in repeats.removal(docs(spark, rows)).collect()) == brute_repeats(rows)
+
+
 @pytest.mark.parametrize("step", [repeats.STEP, 1])
 def test_split_keeps_every_window(spark, step):
     r = random.Random(2)
@@ -83,18 +94,43 @@ def test_split_keeps_every_window(spark, step):
     assert all(text[x.at : x.at + len(x.piece)] == bytes(x.piece) for x in rows)
 
 
-def test_suffix_array(tmp_path):
-    r = random.Random(3)
+def check_suffixes(b, cap, **more):
+    sa, lcp = suffix.suffix_array(np.frombuffer(b, np.uint8), cap, **more)
+    want = sorted(range(len(b)), key=lambda k: b[k:])
+    assert sorted(sa) == list(range(len(b))) and [b[k : k + cap] for k in sa] == [b[k : k + cap] for k in want]
+    for k in range(1, len(b)):
+        x, y = b[sa[k - 1] :], b[sa[k] :]
+        assert lcp[k] == next((j for j in range(min(len(x), len(y), cap)) if x[j] != y[j]), min(len(x), len(y), cap))
+
+
+def test_suffix_array(tmp_path, monkeypatch):
+    r, told = random.Random(3), {}
     for i in range(200):
         b = bytes(r.randint(0, r.choice([1, 2, 8, 200])) for _ in range(r.randint(1, 90))) * r.choice([1, 1, 3])
-        cap, t = r.choice([5, 200]), np.frombuffer(b, np.uint8)
-        sa, lcp = suffix_array(t, cap, budget=r.choice([0, 100, 1 << 20]), folder=str(tmp_path), base=r.choice([0, 3, 1 << 20]))
-        want = sorted(range(len(b)), key=lambda k: b[k:])
-        assert sorted(sa) == sorted(want) and [b[k : k + cap] for k in sa] == [b[k : k + cap] for k in want]
-        for k in range(1, len(b)):
-            x, y = b[want[k - 1] :], b[want[k] :]
-            assert lcp[k] == next((j for j in range(min(len(x), len(y), cap)) if x[j] != y[j]), min(len(x), len(y), cap))
-    assert not list(tmp_path.iterdir())
+        check_suffixes(b, r.choice([5, 200]), budget=r.choice([0, 8, 100, 1 << 20]), folder=str(tmp_path), told=told)
+    for i in range(120):  # runs and periods, and blocks that end inside them
+        monkeypatch.setattr(suffix, "BLOCK", r.choice([40, 64, 1000]))
+        parts = [bytes([r.choice([0, 97, 98, 255])]) * r.choice([1, 2, 3, 7, 30, 150]) if r.random() < 0.6 else r.choice([b"ab", b"ba", b"xyx"]) * r.randint(1, 40) for _ in range(r.randint(1, 12))]
+        check_suffixes(b"".join(parts * r.choice([1, 1, 2])), r.choice([5, 200]), budget=r.choice([8, 100, 1 << 20]), folder=str(tmp_path), told=told)
+    assert told["spilled"] > 1000 and told["levels"] > 3 and not list(tmp_path.iterdir())
+
+
+def test_suffixes_of_a_text_far_larger_than_the_budget(tmp_path):
+    """64 times: most tuples go through files, and several levels of names are sorted."""
+    r, told = random.Random(4), {}
+    some = ["".join(r.choices("abcdefgh ", k=300)) for _ in range(20)]
+    b = "".join(r.choice(some) if r.random() < 0.2 else "".join(r.choices("abcdefgh ", k=300)) for _ in range(440)).encode()[: 1 << 17]
+    sa, lcp = suffix.suffix_array(np.frombuffer(b, np.uint8), 200, budget=1 << 11, folder=str(tmp_path), told=told)
+    keys = [b[k : k + 200] for k in sa]
+    assert len(set(sa.tolist())) == len(b) and all(x <= y for x, y in zip(keys, keys[1:]))
+    assert [k + 1 for k, (x, y) in enumerate(zip(keys, keys[1:])) if len(y) == 200 and x == y] == np.flatnonzero(lcp >= 200).tolist()
+    assert told["spilled"] > 100 and told["levels"] >= 3 and not list(tmp_path.iterdir())
+
+
+def test_long_runs_take_few_turns():
+    for b in (b"a" * 300_000, b"ab" * 100_000, b"=" * 50_000 + b"x" + b"=" * 50_000):
+        sa, _ = suffix.suffix_array(np.frombuffer(b, np.uint8), 200)
+        assert np.array_equal(np.sort(sa), np.arange(len(b)))
 
 
 def test_top_k_search():
