@@ -1,17 +1,21 @@
 """Exact top-k search by inner product, a block of documents at a time.
 
 Components become integers floor(SCALE * x). Documents are put in an order that keeps alike ones together (nearest of CENTROIDS
-centroids, fitted on SAMPLE rows whose ids hash lowest; then id) and range-partitioned; consecutive documents form blocks, and blocks
-form groups, one row each: the group's ids, its forward index (the vectors by block), and each block's maxima and minima by component.
+centroids, fitted on SAMPLE rows whose ids hash lowest; then id) and range-partitioned; BLOCK consecutive documents form a block, and consecutive blocks
+a group, one row each: the group's ids, its forward index (the vectors by block), and each block's maxima and minima by component. Queries
+in the same order form chunks.
+
+A query's bound for a block is the sum over components of the larger of query * maximum and query * minimum. Bounds alone are read first, from the maxima and
+minima of all groups, dealt into tiles: in a first round every query takes the LEAD blocks of each tile with the highest bounds and scores them through the
+forward index, which gives its k-th (score, id) so far; in a second round it takes all other blocks whose bound reaches that. Only groups and queries with such a
+pair meet; there a query takes its blocks in the order of their bounds until they fall below its k-th score, and only what beats its k-th (score, id)
+comes out.
 
-A query's bound for a block is the sum over components of the larger of query * maximum and query * minimum. Each query takes the blocks
-in the order of their bounds and scores them through the forward index until the bound is below its k-th score. A query meets
-its own group first, which gives it a threshold; then query and document groups meet in pairs, (query, block) below the threshold being skipped.
 All arithmetic is exact: floating-point products are used only where every partial sum is an integer that the type holds.
 
 Defined results: rows with a null id, or with a vector that is null or has null or non-finite components, take no part; missing components of
-shorter vectors count as 0; of rows that share an id the least vector counts; a query without candidates gives no rows; scores are taken modulo
-2**64 if they exceed a long; other columns are ignored.
+shorter vectors count as 0; rows that share an id are rows of their own, each a query and a candidate of all others; ties go to the smaller id; a query without
+candidates gives no rows; scores are taken modulo 2**64 if they exceed a long; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, drop, read
 
 K, EVERY, SCALE = 20, 20, 64.0
-BLOCK, GROUP = 256, 8192
+BLOCK, LEAD = 256, 4
+#: Most blocks in a group, groups in a tile and queries in a chunk; wide vectors make smaller groups and chunks.
+GROUP, TILE, CHUNK = 32, 256, 2048
 CENTROIDS, SAMPLE = 64, 4096
+LOW, NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def matrix(lists, dim: int) -> np.ndarray:
@@ -62,63 +69,73 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far, all of them better than its floor."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
+    def __init__(self, n: int, k: int, floor: tuple[np.ndarray, np.ndarray] | None = None):
         self.k = k
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
-        self.floor = np.full(n, np.iinfo(np.int64).min) if floor is None else floor
+        score, id_ = (np.full(n, LOW), np.full(n, NONE)) if floor is None else floor
+        self.score, self.id = np.repeat(score[:, None], k, 1), np.repeat(id_[:, None], k, 1)
+        self.real = np.zeros((n, k), bool)
 
     def least(self, rows=slice(None)) -> np.ndarray:
         """What a score must reach to matter."""
-        return np.maximum(self.score[rows, -1], self.floor[rows])
+        return self.score[rows, -1]
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        ok = (scores >= self.least(rows)[:, None]) & (ids[None, :] != own[:, None])
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, nos: np.ndarray, own: np.ndarray) -> None:
+        """scores: of the queries `rows` by document; nos: the documents' row numbers; own: the queries'."""
+        last, last_id = self.score[rows, -1][:, None], self.id[rows, -1][:, None]
+        ok = ((scores > last) | ((scores == last) & (ids[None, :] < last_id))) & (nos[None, :] != own[:, None])
         hit = ok.any(1)
         rows, scores, ok = rows[hit], scores[hit], ok[hit]
         if not len(rows):
             return
-        low, none = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-        s = np.concatenate([self.score[rows], np.where(ok, scores, low)], 1)
-        i = np.concatenate([self.id[rows], np.where(ok, ids[None, :], none)], 1)
+        s = np.concatenate([self.score[rows], np.where(ok, scores, LOW)], 1)
+        i = np.concatenate([self.id[rows], np.where(ok, ids[None, :], NONE)], 1)
+        r = np.concatenate([self.real[rows], ok], 1)
         by_id = np.argsort(i, axis=1, kind="stable")
-        s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
-        top = np.argsort(np.invert(s), axis=1, kind="stable")[:, : self.k]
-        self.score[rows], self.id[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        top = np.take_along_axis(by_id, np.argsort(np.invert(np.take_along_axis(s, by_id, 1)), axis=1, kind="stable")[:, : self.k], 1)
+        self.score[rows], self.id[rows], self.real[rows] = (np.take_along_axis(x, top, 1) for x in (s, i, r))
+
 
-    def rows(self, queries: np.ndarray):
-        q, r = np.nonzero(self.id != np.iinfo(np.int64).max)
-        return pa.record_batch([pa.array(queries[q]), pa.array(self.id[q, r]), pa.array(self.score[q, r])], names=["query_id", "vec_id", "score"])
+def bounds(q: np.ndarray, highs: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    return product(np.maximum(q, 0), highs) + product(np.minimum(q, 0), lows)
 
 
-def search(best: Best, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, docs: np.ndarray, highs: np.ndarray, lows: np.ndarray) -> int:
-    """Adds to best what the queries find in one group; how many (query, block) were scored."""
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bound = product(up, highs) + product(down, lows)
-    order = np.argsort(-bound, axis=1, kind="stable")
-    scored = 0
+def search(best: Best, own: np.ndarray, q: np.ndarray, ids: np.ndarray, nos: np.ndarray, docs: np.ndarray, highs: np.ndarray, lows: np.ndarray, live: np.ndarray | None = None, block: int = BLOCK) -> int:
+    """Adds to best what the queries (own: their row numbers) find in the live blocks (query, block) of one group; how many (query, block) were scored."""
+    bound = bounds(q, highs, lows)
+    live = np.ones(bound.shape, bool) if live is None else live
+    order = np.argsort(np.where(live, np.invert(bound), NONE), axis=1, kind="stable")
+    scored, all_ = 0, np.arange(len(q))
     for turn in range(order.shape[1]):
-        block = order[:, turn]
-        live = np.flatnonzero(bound[np.arange(len(q)), block] >= best.least())
-        if not len(live):
+        at = order[:, turn]
+        here = np.flatnonzero(live[all_, at] & (bound[all_, at] >= best.least()))
+        if not len(here):
             break
-        scored += len(live)
-        for b in np.unique(block[live]):
-            rows = live[block[live] == b]
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
-            best.add(rows, product(q[rows], docs[part]), ids[part], q_ids[rows])
+        scored += len(here)
+        for b in np.unique(at[here]):
+            rows = here[at[here] == b]
+            part = slice(b * block, (b + 1) * block)
+            best.add(rows, product(q[rows], docs[part]), ids[part], nos[part], own[rows])
     return scored
 
 
-def _ranges(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [docs[i : i + BLOCK] for i in range(0, len(docs), BLOCK)]
-    return np.stack([p.max(0) for p in parts]), np.stack([p.min(0) for p in parts])
+def leading(bound: np.ndarray, first_id: np.ndarray, lead: int) -> np.ndarray:
+    """Of each query the `lead` blocks with the highest bounds, those with smaller ids first: a mask."""
+    n = bound.shape[1]
+    out = np.zeros(bound.shape, bool)
+    if n <= lead:
+        out[:] = True
+        return out
+    by = np.argsort(first_id, kind="stable")
+    order = np.argsort(np.invert(bound[:, by]), axis=1, kind="stable")[:, :lead]
+    np.put_along_axis(out, by[order], True, 1)
+    return out
 
 
-GROUPS = pa.schema([("g", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("docs", pa.binary()), ("n_queries", pa.int64()), ("q_ids", pa.binary()), ("q", pa.binary()), ("floor", pa.binary()), ("found", pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))])
-GROUPS_DDL = "g long, n long, ids binary, docs binary, n_queries long, q_ids binary, q binary, floor binary, found array<struct<query_id:long,vec_id:long,score:long>>"
+def _ranges(docs: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    parts = [docs[i : i + block] for i in range(0, len(docs), block)]
+    return np.stack([p.max(0) for p in parts]), np.stack([p.min(0) for p in parts])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -135,69 +152,126 @@ def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> D
     """id, v (array of long): the rows that take part."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), v.alias("e")).where(F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
-    rows = rows.select("id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score of each query, the rows whose id is divisible by `every`, against all other rows."""
-    rows = cut(integers(vectors, vec_id, embedding, scale), "vectors")
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    dim = max(1, dim or 1)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas().v
-    c = centroids(matrix(list(some), dim).astype(float))
+GROUPS = pa.schema([("g", pa.int64()), *((n, pa.binary()) for n in ("ids", "nos", "docs", "highs", "lows", "first_ids"))])
+GROUPS_DDL = "g long, ids binary, nos binary, docs binary, highs binary, lows binary, first_ids binary"
+CHUNKS = pa.schema([("c", pa.int64()), ("ids", pa.binary()), ("nos", pa.binary()), ("q", pa.binary())])
+CHUNKS_DDL = "c long, ids binary, nos binary, q binary"
+PAIRS = pa.schema([("g", pa.int64()), ("c", pa.int64()), *((n, pa.binary()) for n in ("at", "q_ids", "q_nos", "q", "score", "id", "live"))])
+PAIRS_DDL = "g long, c long, at binary, q_ids binary, q_nos binary, q binary, score binary, id binary, live binary"
+HITS = pa.schema([(n, pa.int64()) for n in ("c", "at", "query_id", "vec_id", "score")])
+HITS_DDL = "c long, at long, query_id long, vec_id long, score long"
 
-    def place(batches):
-        for b in batches:
-            x = matrix(b.column(1).to_pylist(), dim)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(nearest(x.astype(float), c).astype(np.int32))], names=["id", "v", "c"])
-
-    def build(batches):
-        ids, vs = [], []
-
-        def group(no: int):
-            own, docs = np.array(ids, np.int64), matrix(vs, dim)
-            mine = own % every == 0
-            best = Best(int(mine.sum()), k)
-            if len(own):
-                search(best, own[mine], docs[mine], own, docs, *_ranges(docs))
-            found = best.rows(own[mine])
-            hits = pa.StructArray.from_arrays(found.columns, names=["query_id", "vec_id", "score"])
-            return pa.record_batch([pa.array([no]), pa.array([len(own)]), pa.array([own.tobytes()], pa.binary()), pa.array([_pack(docs)], pa.binary()), pa.array([int(mine.sum())]), pa.array([own[mine].tobytes()], pa.binary()), pa.array([_pack(docs[mine])], pa.binary()), pa.array([best.least().tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(hits)], pa.int32()), hits)], schema=GROUPS)
-
-        part, turn = TaskContext.get().partitionId(), 0
+
+def _longs(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
+def _packed(rows: DataFrame, size: int, dim: int, make, schema: pa.Schema, ddl: str) -> DataFrame:
+    """Rows (no, id, v, c) in order of (c, id, no), `size` of them at a time as one row that make(number, ids, nos, vectors) gives."""
+
+    def run(batches):
+        part, turn, ids, nos, vs = TaskContext.get().partitionId(), 0, [], [], []
+        done = lambda: pa.record_batch([pa.array([x], f.type) for x, f in zip(make(part << 32 | turn, np.array(ids, np.int64), np.array(nos, np.int64), matrix(vs, dim)), schema)], schema=schema)
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for no, i, v in zip(*(c.to_pylist() for c in b.columns)):
                 ids.append(i)
+                nos.append(no)
                 vs.append(v)
-                if len(ids) == GROUP:
-                    yield group(part << 32 | turn)
-                    ids, vs, turn = [], [], turn + 1
+                if len(ids) == size:
+                    yield done()
+                    ids, nos, vs, turn = [], [], [], turn + 1
         if ids:
-            yield group(part << 32 | turn)
-
-    placed = rows.mapInArrow(place, "id long, v array<long>, c int")
-    parts = max(1, -(-n // (4 * GROUP)))
-    groups = placed.repartitionByRange(parts, "c", "id").sortWithinPartitions("c", "id").mapInArrow(build, GROUPS_DDL)
-    groups = cut(groups, "groups")
-    numbers = cut(groups.select("g").withColumn("no", F.row_number().over(W.orderBy("g")) - 1), "numbers")
-    count = numbers.count()
-    groups = groups.join(numbers, "g")
-    asks = groups.where("n_queries > 0").select(F.col("no").alias("from"), "q_ids", "q", "floor", F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("to"))
-    pairs = asks.where(F.col("from") != F.col("to")).join(groups.select(F.col("no").alias("to"), "ids", "docs"), "to").select("q_ids", "q", "floor", "ids", "docs")
+            yield done()
 
-    def meet(batches):
+    n = rows.count()
+    parts = max(1, -(-n // (4 * size)))
+    return rows.repartitionByRange(parts, "c", "id", "no").sortWithinPartitions("c", "id", "no").select("no", "id", "v").mapInArrow(run, ddl)
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = SCALE, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of each query, the rows whose id is divisible by `every`, against all other rows. told gets how many pairs of a chunk of
+    queries and a group met in each round (shipped), and how many there are."""
+    rows = cut(integers(vectors, vec_id, embedding, scale).withColumn("no", F.monotonically_increasing_id()), "vectors")
+    dim = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas().v
+    c = centroids(matrix(list(some), dim).astype(float))
+    block, most_lead = BLOCK, LEAD
+    blocks = max(1, min(GROUP, (1 << 20) // (2 * block * dim)))
+    chunk = max(64, min(CHUNK, (1 << 18) // (2 * dim)))
+
+    def place(batches):
         for b in batches:
-            for q_ids, q, floor, ids, docs in zip(*(c.to_pylist() for c in b.columns)):
-                q_ids, floor, ids = (np.frombuffer(x, np.int64) for x in (q_ids, floor, ids))
-                docs = _unpack(docs, dim)
-                best = Best(len(q_ids), k, floor)
-                search(best, q_ids, _unpack(q, dim), ids, docs, *_ranges(docs))
-                yield best.rows(q_ids)
+            x = matrix(b.column(2).to_pylist(), dim)
+            yield pa.record_batch([*b.columns, pa.array(nearest(x.astype(float), c).astype(np.int32))], names=["no", "id", "v", "c"])
+
+    def group(number, ids, nos, docs):
+        highs, lows = _ranges(docs, block)
+        first = np.minimum.reduceat(ids, np.arange(0, len(ids), block))
+        return number, ids.tobytes(), nos.tobytes(), _pack(docs), _pack(highs), _pack(lows), first.tobytes()
+
+    placed = cut(rows.select("no", "id", "v").mapInArrow(place, "no long, id long, v array<long>, c int"), "placed")
+    groups = cut(_packed(placed, blocks * block, dim, group, GROUPS, GROUPS_DDL), "groups")
+    chunks = cut(_packed(placed.where(F.col("id") % every == 0), chunk, dim, lambda number, ids, nos, q: (number, ids.tobytes(), nos.tobytes(), _pack(q)), CHUNKS, CHUNKS_DDL), "chunks")
+    n_groups = groups.count()
+    drop(rows, placed)
+    tiles = max(1, -(-n_groups // TILE))
+    tile = groups.select("g", "highs", "lows", "first_ids").groupBy(F.pmod(F.xxhash64("g"), F.lit(tiles)).cast("int").alias("tile")).agg(F.array_sort(F.collect_list(F.struct("g", "highs", "lows", "first_ids"))).alias("bounds"))
+
+    def choose(first_round: bool):
+        def run(batches):
+            for b in batches:
+                for one in b.to_pylist():
+                    q, q_ids, q_nos, at = _unpack(one["q"], dim), _longs(one["ids"]), _longs(one["nos"]), np.arange(len(one["ids"]) // 8)
+                    score, id_ = np.full(len(at), LOW), np.full(len(at), NONE)
+                    for f in one["floors"] or ():
+                        score[f["at"]], id_[f["at"]] = f["score"], f["vec_id"]
+                    known = [(x["g"], _unpack(x["highs"], dim), _unpack(x["lows"], dim), _longs(x["first_ids"])) for x in one["bounds"]]
+                    edges = np.cumsum([0, *(len(x[1]) for x in known)])
+                    highs, lows, firsts = (np.concatenate([x[i] for x in known]) for i in (1, 2, 3))
+                    live = np.empty((len(q), len(highs)), bool)
+                    for lo in range(0, len(q), 256):
+                        bound = bounds(q[lo : lo + 256], highs, lows)
+                        lead = leading(bound, firsts, most_lead)
+                        live[lo : lo + 256] = lead if first_round else ~lead & (bound >= score[lo : lo + 256, None])
+                    for (g, *_), x, y in zip(known, edges, edges[1:]):
+                        some = np.flatnonzero(live[:, x:y].any(1))
+                        if len(some):
+                            values = (g, one["c"], at[some].tobytes(), q_ids[some].tobytes(), q_nos[some].tobytes(), _pack(q[some]), score[some].tobytes(), id_[some].tobytes(), np.packbits(live[some, x:y], axis=1).tobytes())
+                            yield pa.record_batch([pa.array([v], f.type) for v, f in zip(values, PAIRS)], schema=PAIRS)
+
+        return run
 
-    found = pairs.mapInArrow(meet, "query_id long, vec_id long, score long").unionByName(groups.select(F.inline("found")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def meet(batches):
+        for b in batches:
+            for one in b.to_pylist():
+                at, q_ids, q_nos, ids, nos = (_longs(one[n]) for n in ("at", "q_ids", "q_nos", "ids", "nos"))
+                highs = _unpack(one["highs"], dim)
+                live = np.unpackbits(np.frombuffer(one["live"], np.uint8).reshape(len(at), -1), axis=1, count=len(highs)).astype(bool)
+                best = Best(len(at), k, (_longs(one["score"]), _longs(one["id"])))
+                search(best, q_nos, _unpack(one["q"], dim), ids, nos, _unpack(one["docs"], dim), highs, _unpack(one["lows"], dim), live, block)
+                i, r = np.nonzero(best.real)
+                if len(i):
+                    yield pa.record_batch([pa.array(x) for x in (np.full(len(i), one["c"]), at[i], q_ids[i], best.id[i, r], best.score[i, r])], schema=HITS)
+
+    def round_(asks: DataFrame, first_round: bool) -> DataFrame:
+        dealt = asks.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(tile, "tile").select("c", "ids", "nos", "q", "floors", "bounds")
+        pairs = dealt.mapInArrow(choose(first_round), PAIRS_DDL)
+        if told is not None:
+            told.setdefault("shipped", []).append(pairs.count())
+        met = pairs.join(groups.select("g", "ids", "nos", "docs", "highs", "lows"), "g")
+        return met.mapInArrow(meet, HITS_DDL)
+
+    best = F.row_number().over(W.partitionBy("c", "at").orderBy(F.col("score").desc(), "vec_id"))
+    top = lambda hits: hits.withColumn("rank", best).where(F.col("rank") <= k)
+    first = cut(top(round_(chunks.withColumn("floors", F.lit(None).cast("array<struct<at:long,vec_id:long,score:long>>")), True)), "first")
+    floors = first.where(F.col("rank") == k).groupBy("c").agg(F.collect_list(F.struct("at", "vec_id", "score")).alias("floors"))
+    second = round_(chunks.join(floors, "c", "left"), False)
+    if told is not None:
+        told["pairs"] = n_groups * chunks.count()
+    return top(first.drop("rank").unionByName(second)).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +279,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+s AS (SELECT q.no, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.no <> c.no),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
