@@ -51,6 +51,36 @@ def test_sharding(spark, few, empty):
         assert not any(o != shard and o.startswith(shard) for o in by)
 
 
+def brute_shards(rows, limit):
+    """Only oversized buckets split: from one bucket of all, bit by bit."""
+    out, todo = {}, [("", rows)]
+    while todo:
+        prefix, own = todo.pop()
+        if sum(n for _, n in own) <= limit or len(own) <= 1 or len(prefix) == sharding.BITS:
+            out[prefix] = own
+            continue
+        for bit in "01":
+            if half := [x for x in own if x[0][len(prefix)] == bit]:
+                todo.append((prefix + bit, half))
+    return Counter((k, len(own), sum(n for _, n in own)) for k, own in out.items())
+
+
+@pytest.mark.parametrize("limit", [1, 700, 3000, 10**9])
+def test_only_oversized_shards_split(spark, limit):
+    r = random.Random(7)
+    rows = [(i, "x" * r.choice([0, 10, 300, 900]), "a") for i in range(300)]
+    bits = lambda i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60)
+    got = {(x.shard, x.shard_docs, x.shard_bytes) for x in sharding.shard(docs(spark, rows), limit).collect()}
+    assert Counter(got) == brute_shards([(bits(i), len(t)) for i, t, _ in rows], limit)
+
+
+def test_sharding_deals_out_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(None, "same text", "a")] * 50 + [(3, "same text", "b")] * 20 + [(3, "other", "b")] * 2 + [(4, "alone", "c")]
+    got = sharding.shard(docs(spark, rows), 40).collect()
+    assert Counter((x.doc_id, x.n_bytes) for x in got) == Counter((i, len(t)) for i, t, _ in rows) and all(x.fits for x in got)
+
+
 def brute_repeats(rows, n=200):
     raw = [(i, (t or "").encode()) for i, t, _ in rows]
     seen = Counter(b[k : k + n] for _, b in raw for k in range(len(b) - n + 1))
@@ -137,24 +167,59 @@ def test_top_k_search():
     r = np.random.default_rng(1)
     v = r.integers(-40, 40, (700, 16))
     v[:200] = v[0] + r.integers(-2, 3, (200, 16))
-    ids = r.permutation(10_000)[:700]
-    q, own = v[::7], ids[::7]
-    best = topk.Best(len(q), 20)
-    search = topk.search(best, own, q, ids, v, *topk._ranges(v))
-    assert search <= len(q) * 3
-    for k in range(len(q)):
-        s = v @ q[k]
-        want = sorted((-int(x), int(i)) for x, i in zip(s, ids) if i != own[k])[:20]
-        assert [(-int(a), int(b)) for a, b in zip(best.score[k], best.id[k])] == want
+    ids, nos = r.permutation(10_000)[:700], np.arange(700)
+    q, own = v[::7], nos[::7]
+    highs, lows = topk._ranges(v)
+    for parts in (1, 3):  # floors carried from one part of the blocks to the next change nothing
+        found, floor, live = [[] for _ in q], None, np.arange(len(highs)) % parts
+        for turn in range(parts):
+            best = topk.Best(len(q), 20, floor)
+            assert topk.search(best, own, q, ids, nos, v, highs, lows, np.tile(live == turn, (len(q), 1))) <= len(q) * 3
+            for k in range(len(q)):
+                found[k] = sorted([*found[k], *((-int(a), int(b)) for a, b, real in zip(best.score[k], best.id[k], best.real[k]) if real)])[:20]
+            floor = tuple(np.array([x[19][i] * (1 if i else -1) if len(x) == 20 else (topk.LOW, topk.NONE)[i] for x in found]) for i in (0, 1))
+        for k in range(len(q)):
+            assert found[k] == sorted((-int(x), int(i)) for x, i, no in zip(v @ q[k], ids, nos) if no != own[k])[:20]
+
+
+def brute_top_k(rows, k=20, every=20):
+    v = [(no, i, np.floor(64 * np.array(e, float))) for no, (i, e, *_) in enumerate(rows) if i is not None and e is not None and np.isfinite(np.array(e, float)).all()]
+    out = []
+    for no, i, q in v:
+        if i % every == 0:
+            hits = sorted((-int(q[: len(d)] @ d[: len(q)]), j) for n, j, d in v if n != no)[:k]
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(hits, 1)]
+    return Counter(out)
 
 
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.5]), (20, [1.0, float("nan")]), (40, None), (1, [1.0, 0.5]), (2, [None, 0.5]), (3, [-1.0]), (3, [-1.0]), (None, [1.0, 1.0]), (4, []), (60, [0.0, 0.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 5120), (0, 2, 4, 0), (0, 3, 60, 0), (0, 4, 3, -4096), (60, 1, 0, 0), (60, 2, 1, 0), (60, 3, 3, 0), (60, 4, 4, 0)]
+    got = Counter(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top_k([x for x in rows if x[0] != 2]) and got[0, 4, 3, -4096] == got[0, 5, 3, -4096] == 1
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_over_groups(spark, monkeypatch, tmp_path):
+    """Several groups, tiles and chunks, ties across groups, repeated ids that are queries too, clashing columns; clusters spare most pairs. The SQL agrees."""
+    import duckdb
+
+    for name, n in (("BLOCK", 16), ("GROUP", 2), ("TILE", 5), ("CHUNK", 64)):
+        monkeypatch.setattr(topk, name, n)
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 2, (12, 8))
+    rows = [(i, (centres[i % 12] + r.normal(0, 0.05, 8)).round(3).tolist()) for i in range(1200)]
+    rows += [(2000 + i, [0.25] * 8) for i in range(150)] + [(20, [0.5] * 8), (20, [0.5] * 8), (2000, [0.25] * 8)]
+    own = spark.createDataFrame([(*x, "g", 1, "c") for x in rows], "vec_id long, embedding array<double>, g string, no int, c string").repartition(5)
+    told = {}
+    got = Counter(tuple(x) for x in topk.top_k(own, told=told).collect())
+    assert got == brute_top_k(rows)
+    assert sum(told["shipped"]) < told["pairs"], told
+    own.select("vec_id", "embedding").coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    assert Counter(tuple(x) for x in con.execute(topk.ORACLE).fetchall()) == got
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
