@@ -15,13 +15,16 @@ piece are kept in a table of bounded size, since pieces repeat.
 Decoding composes tokens with a UTF-8 state machine: the state after each token (how many bytes of a character are open, and
 the bounds of the next) is looked up by (state, token), so text comes out as it grows, with U+FFFD for ill-formed bytes.
 
-Defined results: null text counts as empty and has no tokens; every byte is a token, so every text can be encoded; an empty table gives no rows.
+Defined results: null text counts as empty and has no tokens; every byte is a token, so every text can be encoded; very long texts are encoded whole, their
+long pieces in parts; repeated rows and rows that share an id or have none are encoded each; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from itertools import accumulate, chain
 from operator import getitem
 
@@ -31,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, small_batches, tables
 
-MAX_MOVES = 800_000
-MAX_PIECES = 200_000
+MAX_MOVES = 500_000
+MAX_FITS = 300_000
+MAX_PIECES = 120_000
 #: Bytes after which a piece is emitted in parts.
 WINDOW = 4096
 
@@ -77,16 +81,18 @@ class Transducer:
             raise ValueError("too many ranks")
         self.ranks, self.bytes_of = ranks, {v: k for k, v in ranks.items()}
         self.length = {v: len(k) for k, v in ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        self.trie: dict[int, int] = {}  # node * 256 + byte -> node
+        self.token_at, self.depths, self.inner = array("i", [-1]), array("H", [0]), bytearray(1)
         for raw, rank in ranks.items():
             node = 0
             for b in raw:
-                down = self.trie[node].get(b)
+                down = self.trie.get(node << 8 | b)
                 if down is None:
-                    down = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
+                    down = self.trie[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depths.append(self.depths[node] + 1)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                 node = down
             self.token_at[node] = rank
         self.edges: dict[int, tuple | None] = {}
@@ -127,7 +133,7 @@ class Transducer:
         the merges that take up its two sides, and of equal ranks the leftmost merge comes first."""
         key = (last + 1) << 20 | token
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > MAX_MOVES:
+            if len(self.fits) > MAX_FITS:
                 self.fits.clear()
             b = self.sides(token)
             if b is None:
@@ -144,15 +150,15 @@ class Transducer:
         return known
 
     def move(self, state: State, byte: int) -> State:
-        kept, new, trie, token_at = [], -1, self.trie, self.token_at
+        kept, new, trie, token_at, inner = [], -1, self.trie, self.token_at, self.inner
         for h in state.hypotheses:
-            down = trie[h >> 20].get(byte)
+            down = trie.get(h >> 20 << 8 | byte)
             if down is None:
                 continue
             last = (h & 0xFFFFF) - 1
             if new < 0 and (token := token_at[down]) >= 0 and self.fit(last, token):
                 new = token
-            if trie[down]:
+            if inner[down]:
                 kept.append(down << 20 | last + 1)
         if new < 0:
             raise ValueError("the ranks are not those of a byte-level BPE")
@@ -206,11 +212,6 @@ class Transducer:
 
     def open_bytes(self, state: State) -> list[int]:
         """How many bytes each live hypothesis has read since its boundary; they stand in the state from the most to the fewest."""
-        if not hasattr(self, "depths"):
-            self.depths = [0] * len(self.trie)
-            for node, downs in enumerate(self.trie):
-                for down in downs.values():
-                    self.depths[down] = self.depths[node] + 1
         return [self.depths[h >> 20] for h in state.hypotheses]
 
 

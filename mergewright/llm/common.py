@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 _tables: dict = {}
+_last: list = [None]
 
 
 def release(own=None) -> None:
@@ -58,6 +61,13 @@ def release(own=None) -> None:
         for k in others:
             del _tables[k]
         gc.collect()  # they may hold cycles
+    if _last != [own]:
+        _last[:] = [own]
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # what others freed goes back to the system
+        except (AttributeError, OSError):  # not every C library has it
+            pass
 
 
 def tables(key, make):

@@ -6,7 +6,8 @@ filters with numpy: runs of rows with one filter are undone at once. feature() i
 cosine transform: the signs of the 8 x 8 lowest coefficients against their median.
 
 Defined results: null text counts as empty and stores 576 bytes of 255; equal texts get equal images and features; a stored
-image that fails a test raises ValueError in decode() and has a null feature and the fault's name in inspect(); an empty table gives no rows.
+image that fails a test raises ValueError in decode() and has a null feature and the fault's name in inspect(); very long texts are stored whole, a row of
+a table at a time in memory; repeated rows and rows that share an id or have none are stored each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, small_batches
 
 UNIT = 576
 WIDTH = 24
@@ -128,15 +129,28 @@ def decode(image: bytes) -> np.ndarray:
     return unfilter(lines[:, 0], lines[:, 1:])
 
 
-@lru_cache(256)
-def _cosines(n: int) -> np.ndarray:
-    return np.cos(np.pi / n * np.outer(np.arange(LOW), np.arange(n) + 0.5)) * np.sqrt(2 / n)
+def _waves(n: int, lo: int, hi: int) -> np.ndarray:
+    """Columns lo to hi of the LOW lowest cosines over n places."""
+    return np.cos(np.pi / n * np.outer(np.arange(LOW), np.arange(lo, hi) + 0.5)) * np.sqrt(2 / n)
+
+
+#: Tables up to PART places are kept, 64 of them at most; longer ones are made a part at a time.
+PART = 1024
+_kept = lru_cache(64)(_waves)
+
+
+def _cosines(n: int, lo: int, hi: int) -> np.ndarray:
+    return _kept(n, lo, hi) if n <= PART else _waves(n, lo, hi)
 
 
 def feature(samples: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest cosine coefficients are over their median (the constant one is left out of the median)."""
-    low = (_cosines(samples.shape[0]) @ samples.astype(np.float64) @ _cosines(samples.shape[1]).T).ravel()
-    low = np.round(low, 6)
+    height, width = samples.shape
+    columns = np.zeros((LOW, width))
+    for lo in range(0, height, PART):
+        hi = min(height, lo + PART)
+        columns += _cosines(height, lo, hi) @ samples[lo:hi].astype(np.float64)
+    low = np.round((columns @ _cosines(width, 0, width).T).ravel(), 6)
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
@@ -147,9 +161,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, raw_bytes, media (PNG), feature (8 bytes, of the image read back)."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+        for part in small_batches(batches, 1):
+            if part.num_rows:
                 raws = [(x or "").encode() for x in part.column(1).to_pylist()]
                 images = [encode(padded(x)) for x in raws]
                 yield pa.record_batch([part.column(0), pa.array(map(len, raws), pa.int64()), pa.array(images, pa.binary()), pa.array([feature(decode(x)) for x in images], pa.binary())], schema=FIELDS)
@@ -164,7 +177,7 @@ def inspect(media: DataFrame) -> DataFrame:
     """What media_columns() stored -> the digest of each image as it reads back."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 2):
             out = []
             for doc_id, n, image in zip(*(b.column(i).to_pylist() for i in range(3))):
                 try:

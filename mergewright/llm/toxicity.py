@@ -4,12 +4,13 @@ Texts are folded first: lower case, homoglyphs of Latin letters, and digits or s
 whole words and word beginnings with weights, matched by an Aho-Corasick automaton; matches inside an exception phrase don't count.
 The score is logistic in the weight found and in the weight per word, both damped, so that length is normalised.
 
-Learning, from a bounded sample of labelled rows (TOXIC_ROWS, CLEAN_ROWS): candidates are words and beginnings whose log odds of
+Learning, from a bounded sample of labelled rows (TOXIC_ROWS, CLEAN_ROWS), a lexicon of at most ENTRIES entries out of CANDIDATES: candidates are words and beginnings whose log odds of
 documents, near copies sharing one vote, favour label 1 enough (more so if it occurs in clean ones at all); then entries are taken greedily by their weight among
 documents not yet well covered. Exceptions are the neighbours (one word before or after) with which an entry occurs in clean documents only.
 
 Defined results: null and empty texts get the score of no match; without labels of both classes the lexicon is empty and every score is
-the share of label 1 (0 if none); repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+the share of label 1 (0 if none); very long texts are read whole; repeated rows and rows that share an id or have none are scored each; ids that are null
+or have labels of both kinds teach nothing; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ HOMOGLYPHS = str.maketrans({
 #: Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _LOOKALIKE = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "Ａ-ｚ]")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$!]+(?=[^\W_])(?:[\w@$]|!(?=\w))*|(?<!\w)[0-9@$]{1,2}(?=[^\W\d_]{2})(?:[\w@$]|!(?=\w))*")
+#: Begins where a run of letters begins, so that a very long word is read once.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!]+(?=[^\W_])(?:[\w@$]|!(?=\w))*|(?<!\w)[0-9@$]{1,2}(?=[^\W\d_]{2})(?:[\w@$]|!(?=\w))*")
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -167,7 +169,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     """Adds exception phrases and the logistic coefficients."""
 
     def near(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             seen = {0: Counter(), 1: Counter()}
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 folded = fold_text(text)
@@ -188,7 +190,7 @@ def calibrate(rows: DataFrame, lexicon: Lexicon) -> Lexicon:
     lexicon = Lexicon(lexicon.entries, exceptions)
 
     def measure(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             f = [lexicon.features(fold_text(t)) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(2), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], names=["y", "a", "b"])
 

@@ -293,11 +293,44 @@ def test_secrets(spark, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_ratio_is_the_mean_log_ratio_of_two_chains():
+    samples = pd.DataFrame({"token": ["aab", "zz9", "Ab", "abba"], "label": [1, 1, 0, 0]})
+    size, ratio = len(secrets.ALPHABET) + 2, secrets.Ratio.train(samples)
+
+    def chance(label, before, c):
+        n = total = 0
+        for t in samples.token[samples.label == label]:
+            for x, y in zip([None, *t], t):
+                total += x == before
+                n += (x, y) == (before, c)
+        return (n + 0.5) / (total + 0.5 * size)
+
+    for token in ("a", "abz", "zz9A", "", "Q-_"):
+        want = sum(np.log(chance(1, x, y) / chance(0, x, y)) for x, y in zip([None, *token], token))
+        assert ratio(token) == pytest.approx(want / len(token) if token else 0.0)
+
+
+def test_markov_spans_on_strings_held_out(spark):
+    """Precision and recall of what the models add, on random strings of another seed and on identifiers that they weren't trained on."""
+    r = random.Random(8)
+    parts = ["get", "user", "name", "from", "data", "base", "config", "handler", "factory", "token", "value", "index", "request", "response", "service", "manager", "update", "session", "parser", "stream"]
+    names = lambda n: [("_" if i % 3 else "").join(p.title() if i % 3 == 0 else p for p in r.choices(parts, k=5)) for i in range(n)]
+    ratio = secrets.Ratio.train(pd.DataFrame({"token": secrets.generated() + names(3000), "label": [1] * secrets.GENERATED + [0] * 3000}))
+    keys, clean = secrets.generated(600, seed=99), [x for x in names(600) if len(x) >= 20]
+    hit = lambda x: any(k == "markov" or k == "hex" for *_, k in secrets.scan(f"see {x} here", ratio))
+    found, wrong = sum(map(hit, keys)), sum(map(hit, clean))
+    assert found / len(keys) > 0.9 and wrong / len(clean) < 0.02 and found / (found + wrong) > 0.97
+
+
+#: The patterns as the contract has them, written out once more.
+PLAIN_ASSIGN = re.compile("(?ai)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
 def test_base_spans_match_plain_patterns():
     r = random.Random(5)
     for _ in range(500):
         t = "".join(r.choice(["token", "=", " ", ":", "password", "AKIA", "A1B2", "abc123", "\"", "ſecret", "_", "apikey", "deadbeef", "é"]) for _ in range(14))
-        want = [(*m.span(), "assign") for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12]
+        want = [(*m.span(), "assign") for m in PLAIN_ASSIGN.finditer(t) if len(m[2]) >= 12]
         want += [(*m.span(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
         want += [(*m.span(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         assert secrets.base_spans(t) == sorted(want, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
@@ -372,6 +405,25 @@ def test_png_filters():
     assert (media.unfilter(np.array(kinds, np.uint8), np.array(lines, np.uint8)) == rows).all()
 
 
+def test_cosine_feature_is_brute_force():
+    r = np.random.default_rng(3)
+    for height in (24, 50, media.PART, media.PART + 1, 2 * media.PART + 7):
+        x = r.integers(0, 256, (height, media.WIDTH), dtype=np.uint8)
+        low = np.array([[sum(float(v) * np.cos(np.pi / height * a * (i + 0.5)) * np.cos(np.pi / media.WIDTH * b * (j + 0.5)) for i, row in enumerate(x) for j, v in enumerate(row)) if height < 60 else (np.cos(np.pi / height * a * (np.arange(height) + 0.5)) @ x @ np.cos(np.pi / media.WIDTH * b * (np.arange(media.WIDTH) + 0.5))) for b in range(8)] for a in range(8)])
+        want = low.ravel() > np.median(low.ravel()[1:])
+        assert (np.unpackbits(np.frombuffer(media.feature(x), np.uint8)).astype(bool) == want).sum() >= 63  # the median's two neighbours may be within rounding
+    assert media._kept.cache_info().maxsize * media.PART * media.LOW * 8 < 8 << 20
+
+
+def test_media_of_a_very_long_text(spark):
+    text = "línea muy larga " * 250_000
+    rows = [(1, text, "a"), (1, text, "a"), (None, "short", "b")]
+    got = media.inspect(media.media_columns(docs(spark, rows))).collect()
+    raw = media.padded(text.encode())
+    assert [(x.n_bytes, x.payload_bytes, x.payload_sha256, x.fault) for x in got if x.doc_id] == [(len(text.encode()), len(raw), hashlib.sha256(raw).hexdigest(), None)] * 2
+    assert len({x.feature for x in got if x.doc_id}) == 1
+
+
 def test_media_rows(spark, few, empty):
     got = media.inspect(media.media_columns(docs(spark, few))).collect()
     assert len(got) == len(few) and media.inspect(media.media_columns(empty)).count() == 0
@@ -407,11 +459,22 @@ def test_bpe_is_tiktokens(spark, few, empty):
     assert bpe.digest(empty, path, pattern).count() == 0
 
 
+def test_bpe_digest_of_very_long_texts(spark):
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rows = [(1, "wörter und words " * 40_000, "a"), (1, "=" * 60_000 + "x", "a"), (None, "ungenlich" * 9000, "a")]
+    for x, (_, t, _) in zip(bpe.digest(docs(spark, rows), path, pattern).collect(), rows):
+        ids = own.encode_ordinary(t)
+        assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_bpe_with_full_tables(monkeypatch):
     """Tables that start anew all the time and pieces emitted in parts change nothing."""
     import tiktoken
 
-    for name, n in (("MAX_MOVES", 60), ("MAX_PIECES", 6), ("WINDOW", 48)):
+    for name, n in (("MAX_MOVES", 60), ("MAX_FITS", 9), ("MAX_PIECES", 6), ("WINDOW", 48)):
         monkeypatch.setattr(bpe, name, n)
     path, pattern = bpe.default_vocabulary()
     ranks = bpe.load_ranks(path)
@@ -478,3 +541,110 @@ def test_quality_shares_without_the_held_out_fold(spark, monkeypatch):
     quality.fitted(d, labels)
     quality.fitted(d, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
     assert seen[0] == seen[1] and sum(seen[0].values()) == pytest.approx(1)
+
+
+def test_matching_is_brute_force():
+    """What the automaton finds is what trying every entry at every place finds."""
+    r = random.Random(11)
+    entries = {" bad ": 2.0, " ba": 0.5, " badly ": 3.0, " awful ": 1.5, " aw": 0.25}
+    shields = ["not bad", "bad luck"]
+    lexicon = toxicity.Lexicon(entries, shields)
+    for _ in range(400):
+        folded = " " + " ".join(r.choices(["bad", "badly", "bat", "awful", "awe", "not", "luck", "so"], k=r.randint(0, 9))) + " "
+        cover = [(a, a + len(s) + 2) for s in shields for a in range(len(folded)) if folded.startswith(f" {s} ", a)]
+        want = []
+        for a in range(len(folded)):
+            here = [k for k in entries if folded.startswith(k, a)]
+            if here:
+                k = max(here, key=len)
+                if not any(x <= a and a + len(k.rstrip()) <= y for x, y in cover):
+                    want.append((a, k, entries[k]))
+        assert lexicon.matches(folded) == want
+        weight = sum(w for *_, w in want)
+        n = max(1, len(folded.split()))
+        z = lexicon.bias + lexicon.total * np.log1p(weight) + lexicon.rate * np.log1p(1000 * weight / n)
+        assert lexicon.score(folded) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_network_is_the_plain_formula():
+    r = np.random.default_rng(4)
+    net = quality.Network()
+    x = np.abs(r.normal(1, 0.3, (40, 2 * quality.DIM + 1)))
+    x[:, -1] = r.integers(1, 90, 40)
+    net.fit(x, (x[:, 0] > 1).astype(float), np.ones(40), steps=60)
+    net.temperature = 1.7
+    got = net.proba(x)
+    for row, p in zip(x, got):
+        n, units = row[-1], []
+        drawn = [(row[i] * n + quality.PRIOR * net.prior[i]) / (n + quality.PRIOR) for i in range(2 * quality.DIM)]
+        drawn = [v if i < quality.DIM else v**0.5 for i, v in enumerate(drawn)]
+        for k in range(quality.HIDDEN):
+            units.append(max(0.0, sum((v - m) / s * w for v, m, s, w in zip(drawn, net.mean, net.scale, net.w[0][:, k])) + net.w[1][k]))
+        z = sum(u * w for u, w in zip(units, net.w[2])) + net.w[3][0]
+        assert p == pytest.approx(1 / (1 + np.exp(-z / 1.7)))
+
+
+def test_quality_scores_do_not_know_the_held_out_labels(spark):
+    rows, labels = labelled(spark)
+    d = docs(spark, rows)
+    held = quality.fold(quality.PARTS) == quality.HELD
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ([tuple(x) for x in quality.score(d, *quality.fitted(d, own)).collect()] for own in (labels, flipped))
+    assert one == two and labels.where(held).count() > 50
+
+
+def test_toxicity_scores_do_not_know_the_held_out_labels(spark):
+    rows, labels = labelled(spark)
+    d = docs(spark, rows)
+    held = toxicity.fold_of(toxicity.PARTS) == toxicity.HELD
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    learn = lambda own: toxicity.learn(toxicity.sample(d, own, "toxic", toxicity.PARTS, toxicity.HELD, {1: 500, 0: 500}))
+    one, two = ([tuple(x) for x in toxicity.score(d, learn(own)).collect()] for own in (labels, flipped))
+    assert one == two
+
+
+@pytest.mark.parametrize("only", [0, 1])
+def test_classifiers_with_one_class_and_odd_ids(spark, only):
+    rows, labels = labelled(spark)
+    rows = [*rows, (None, "no id", "a"), (None, "no id", "a"), (3, "another text of id 3", "b"), (3, "x" * 100_000, "b")]
+    d = docs(spark, rows)
+    own = labels.where(f"quality = {only} and toxic = {only}").unionByName(spark.createDataFrame([(None, only, only), (5, 0, 0), (5, 1, 1)], labels.schema))
+    q = quality.score(d, *quality.fitted(d, own)).collect()
+    assert len(q) == len(rows) and all(x.score == (only if labels.where(f"quality = {only} and toxic = {only}").count() else 0.5) for x in q)
+    t = toxicity.score(d, toxicity.learn(toxicity.sample(d, own, "toxic", 5, 0, {1: 500, 0: 500}))).collect()
+    assert len(t) == len(rows) and all(0 <= x.score <= 1 and (x.score > 0.5) == bool(only) for x in t)
+
+
+def test_near_duplicates_of_a_whole_table_lose_no_link(spark):
+    """All pairs of sf0.01's documents that share a shingle, counted by an index from shingles to documents."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {x.doc_id: shingles(x.text, 3) for x in d.select("doc_id", "text").collect()}
+    where, common = {}, Counter()
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for ids in where.values():
+        for n, i in enumerate(ids):
+            for j in ids[:n]:
+                common[j, i] += 1
+    links = [(i, j) for (i, j), n in common.items() if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.components(d, 3, 85).collect()}
+    assert len(links) > 50 and {i: n for i, (n, _) in got.items()} == {i: len(s) for i, s in sets.items()}
+    found = sum(got[i][1] == got[j][1] for i, j in links)
+    assert found == len(links), (found, len(links))
+    up = {i: i for i in sets}
+    top = lambda x: x if up[x] == x else top(up[x])
+    for i, j in links:
+        a, b = top(i), top(j)
+        up[max(a, b)] = min(a, b)
+    assert {i: c for i, (_, c) in got.items()} == {i: top(i) for i in sets}
+
+
+def test_near_duplicates_with_hubs(spark, monkeypatch):
+    """Pairs of hubs are dealt out in parts."""
+    monkeypatch.setattr(neardup, "HUBS", 1)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, 5000) for i in range(1, 2500)], "a long, b long")
+    own = spark.createDataFrame([(i, [1, 2, 3, 4, i % 7 + 10]) for i in [*range(3000), 5000]], "id long, shingles array<long>")
+    got = {(x.a, x.b) for x in neardup.confirm(pairs, own, 80).collect()}
+    last = {i: i % 7 for i in [*range(3000), 5000]}
+    assert got == {(a, b) for a, b in [(0, i) for i in range(1, 3000)] + [(i, 5000) for i in range(1, 2500)] if last[a] == last[b]}
