@@ -32,7 +32,7 @@ LENGTH = 200
 GRAM = 40
 STEP = 16
 HOT = 1 << 20
-SHARD = 1 << 22
+SHARD = 1 << 23
 #: Beyond so many shards they grow instead; a shard may be far larger than memory.
 SHARDS = 20_000
 
@@ -225,16 +225,29 @@ def shard_runs(batches, budget: int = BUDGET):
     with scratch() as folder:
         with open(f"{folder}/text", "wb") as text, open(f"{folder}/parts", "wb") as parts:
             for b in small_batches(batches, 3):
-                for anchor, cid, n, piece in zip(*(c.to_pylist() for c in b.columns)):
-                    text.write(piece + b"\xff")
-                    np.array([(anchor, cid, n, len(piece))], _PART).tofile(parts)
-            text.write(bytes(LENGTH + PAD))
+                rows = list(zip(*(c.to_pylist() for c in b.columns)))
+                text.write(b"".join(x for *_, piece in rows for x in (piece, b"\xff")))
+                parts.write(np.array([(anchor, cid, n, len(piece)) for anchor, cid, n, piece in rows], _PART).tobytes())
         if not os.path.getsize(f"{folder}/parts"):
             return
         known = np.memmap(f"{folder}/parts", _PART, "r")
-        firsts = np.concatenate([[0], np.cumsum(known["length"].astype(np.int64) + 1)])
+        _, which, often = np.unique(known["anchor"], return_inverse=True, return_counts=True)
+        # a piece that occurs again matches as a whole, and if it is the only one of its anchor no other piece can have a window of it
+        sorted_ = (known["n"] == 1) | (often[which] > 1)
+        lengths = known["length"].astype(np.int64) + 1
+        with open(f"{folder}/text", "rb") as text, open(f"{folder}/sorted", "wb") as own:
+            at = 0
+            for take, n in zip(sorted_.tolist(), lengths.tolist()):
+                if take:
+                    text.seek(at)
+                    own.write(text.read(n))
+                at += n
+            own.write(bytes(LENGTH + PAD))
+        os.unlink(f"{folder}/text")
+        found = matched_windows(f"{folder}/sorted", np.concatenate([[0], np.cumsum(lengths[sorted_])]), folder, budget) if sorted_.any() else iter(())
         out = []
-        for part, runs in zip(known, matched_windows(f"{folder}/text", firsts, folder, budget)):
+        for part, take in zip(known, sorted_.tolist()):
+            runs = next(found) if take else ()
             runs = [(0, int(part["length"]) - LENGTH + 1)] if part["n"] > 1 else runs
             if runs:
                 out.append((int(part["anchor"]), part["cid"].tobytes(), [{"first": a, "n": k} for a, k in runs]))

@@ -6,7 +6,7 @@ names differ or stand for as many bytes as count. All other suffixes are induced
 its left to the bucket of that one's first character.
 
 The buckets form a priority queue keyed by character, whose items (suffix and common-prefix length) arrive in order inside each. It holds `budget` bytes
-in memory; beyond that all it holds goes to files, one for each bucket. Text, names, LMS suffixes, sorted suffixes and lengths are files too, read through
+in memory; beyond that all it holds goes to a file, stretch by stretch of a bucket. Text, names, LMS suffixes, sorted suffixes and lengths are files too, read through
 memory maps or a block at a time, so that a text may be far larger than memory: what is held at a time is the budget and a few blocks.
 
 Bytes have a bucket each, traversed as a stream. The names of an inner level may be as many as its characters, so there a bucket is a range of names that
@@ -21,11 +21,12 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections import deque
 from contextlib import contextmanager
 
 import numpy as np
 
-BUDGET = 1 << 19
+BUDGET = 1 << 20
 BLOCK = 1 << 16
 #: Zeros that follow a text in its file, beyond the cap.
 PAD = 16
@@ -83,12 +84,15 @@ class Log:
 
 
 class Queue:
-    """Items by bucket, first in first out; kinds: the types of an item's parts. Over `budget` bytes in memory, all goes to the buckets' files in `folder`."""
+    """Items by bucket, first in first out; kinds: the types of an item's parts. Over `budget` bytes in memory, all goes to a file for each part in `folder`, in
+    which every bucket has its stretches."""
 
     def __init__(self, folder: str, kinds, budget: int = BUDGET):
-        self.folder, self.kinds, self.budget = tempfile.mkdtemp(dir=folder), [np.dtype(k) for k in kinds], budget
+        self.kinds, self.budget = [np.dtype(k) for k in kinds], budget
         self.held: dict[int, list[tuple]] = {}
-        self.size, self.files, self.spilled, self.rest = 0, {}, 0, 0
+        self.size, self.spilled, self.rest, self.written = 0, 0, 0, 0
+        self.stretches: dict[int, deque] = {}  # (first item in the files, number)
+        self.files = [tempfile.TemporaryFile(dir=folder, buffering=0) for _ in kinds]
 
     def push(self, bucket: int, *parts: np.ndarray) -> None:
         self.held.setdefault(bucket, []).append(parts)
@@ -96,27 +100,31 @@ class Queue:
         if self.size > self.budget:
             self.spill()
 
-    def _path(self, bucket: int, part: int) -> str:
-        return f"{self.folder}/{bucket}-{part}"
-
     def spill(self) -> None:
+        for k, (kind, file) in enumerate(zip(self.kinds, self.files)):
+            raw = np.concatenate([parts[k] for some in self.held.values() for parts in some]).astype(kind, copy=False)
+            os.pwrite(file.fileno(), memoryview(raw).cast("B"), self.written * kind.itemsize)
         for bucket, some in self.held.items():
-            for k, kind in enumerate(self.kinds):
-                with open(self._path(bucket, k), "ab") as f:
-                    np.concatenate([parts[k] for parts in some]).astype(kind, copy=False).tofile(f)
-            written, taken = self.files.get(bucket, (0, 0))
-            self.files[bucket] = (written + sum(len(parts[0]) for parts in some), taken)
+            n = sum(len(parts[0]) for parts in some)
+            self.stretches.setdefault(bucket, deque()).append((self.written, n))
+            self.written += n
             self.spilled += 1
         self.held, self.size = {}, 0
 
     def pop(self, bucket: int):
-        """The items of a bucket in order, BLOCK at most at a time; more may be pushed meanwhile. What is in its file came before what is held."""
+        """The items of a bucket in order, BLOCK at most at a time; more may be pushed meanwhile. What is in the files came before what is held."""
         while True:
-            written, taken = self.files.get(bucket, (0, 0))
-            if taken < written:
-                n = min(BLOCK, written - taken)
-                self.files[bucket], self.rest = (written, taken + n), 0
-                yield [np.fromfile(self._path(bucket, k), kind, n, offset=taken * kind.itemsize) for k, kind in enumerate(self.kinds)]
+            if waiting := self.stretches.get(bucket):
+                some, n = [], 0
+                while waiting and n < BLOCK:
+                    at, m = waiting.popleft()
+                    if m > BLOCK - n:
+                        waiting.appendleft((at + BLOCK - n, m - BLOCK + n))
+                        m = BLOCK - n
+                    some.append((at, m))
+                    n += m
+                self.rest = 0
+                yield [np.concatenate([np.frombuffer(os.pread(file.fileno(), m * kind.itemsize, at * kind.itemsize), kind) for at, m in some]) for kind, file in zip(self.kinds, self.files)]
             elif some := self.held.pop(bucket, None):
                 parts = [np.concatenate(p) if len(p) > 1 else p[0] for p in zip(*some)]
                 self.size -= sum(p.nbytes for p in parts)
@@ -124,15 +132,11 @@ class Queue:
                     self.rest = max(0, len(parts[0]) - lo - BLOCK)
                     yield [p[lo : lo + BLOCK] for p in parts]
             else:
-                break
-        if self.files.pop(bucket, None):
-            for k in range(len(self.kinds)):
-                os.unlink(self._path(bucket, k))
+                return
 
     def emptied(self, bucket: int) -> bool:
         """Whether what pop() gave last is all that the bucket holds."""
-        written, taken = self.files.get(bucket, (0, 0))
-        return not self.rest and taken == written and bucket not in self.held
+        return not self.rest and not self.stretches.get(bucket) and bucket not in self.held
 
     def load(self, bucket: int) -> np.ndarray:
         """All items of a bucket of one part."""
@@ -140,7 +144,8 @@ class Queue:
         return np.concatenate(parts) if parts else np.zeros(0, self.kinds[0])
 
     def close(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        for file in self.files:
+            file.close()
 
 
 class Feed:
@@ -283,11 +288,13 @@ def chains(t: np.ndarray, pos: np.ndarray, lcp: np.ndarray | None, c: int, cap:
     would else take a turn for every character of a run. -> suffixes in order and their lengths, then those with which the runs go on beyond BLOCK
     items and their lengths; None if no run goes on, or if the runs that they begin with differ, so that they are of different turns."""
     m = len(pos)
-    reach = BLOCK // m
-    at = pos[:, None].astype(np.int64) - 1 - np.arange(reach)
-    runs = np.concatenate([(at >= 0) & (t[np.maximum(at, 0)] == c), np.zeros((m, 1), bool)], axis=1).argmin(1)
-    if not runs.any():
+    if not (t[np.maximum(pos - 1, 0)][pos > 0] == c).any():
         return None
+    for reach in (min(64, BLOCK // m), BLOCK // m):
+        at = pos[:, None].astype(np.int64) - 1 - np.arange(reach)
+        runs = np.concatenate([(at >= 0) & (t[np.maximum(at, 0)] == c), np.zeros((m, 1), bool)], axis=1).argmin(1)
+        if runs.max() < reach:
+            break
     more = int(runs.max()) == reach
     turns = np.arange(min(int(runs.max()), reach) + 1)
     alive = runs >= turns[:, None]
