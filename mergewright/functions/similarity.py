@@ -202,6 +202,12 @@ def levenshtein_sim(a, b) -> Column:
     return F.when((x == "") | (y == ""), 0.0).otherwise(F.round(1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)), 4))
 
 
+def plain_levenshtein_sim(x, y) -> Column:
+    """levenshtein() of names that are in the compared form already."""
+    x, y = F.coalesce(F.col(x), F.lit("")), F.coalesce(F.col(y), F.lit(""))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(F.round(1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)), 4))
+
+
 def phone_tier(a, b) -> Column:
     """phone() where it doesn't need the ratio, else null."""
     x, y = digits(a), digits(b)

@@ -156,6 +156,6 @@ def pick(columns: list[str], wanted: list[str]) -> Column:
 
 
 def parse_time(c: Column) -> Column:
-    """A timestamp in one of three formats; null if in none."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    """A timestamp, taken as UTC, in one of three formats; null if in none."""
+    formats = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in formats))

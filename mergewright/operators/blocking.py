@@ -48,6 +48,16 @@ def column_pairs(df: DataFrame, key: str, cap: int | None = None, row_id: str =
     return rows.join(right, "k").where(F.col("id") < F.col("right_id")).select(F.col("id").alias("left_id"), "right_id", "k")
 
 
+def bare_pairs(df: DataFrame, passes=PASSES, row_id: str = "record_id") -> DataFrame:
+    """left_id, right_id, once each, with the first pass that found them: pairs() without keys, which then needn't be carried."""
+    out = None
+    for i, (key, cap) in enumerate(passes):
+        if key in df.columns:
+            own = column_pairs(df, key, cap, row_id).select("left_id", "right_id", F.lit(i).alias("pass"))
+            out = own if out is None else out.unionByName(own)
+    return out.groupBy("left_id", "right_id").agg(F.min("pass").alias("pass"))
+
+
 def pairs(df: DataFrame, passes=PASSES, row_id: str = "record_id") -> DataFrame:
     """left_id, right_id, once each, with the first pass that found them and its key."""
     out = None
@@ -73,6 +83,17 @@ def with_records(found: DataFrame, records: DataFrame, columns: list[str], row_i
     return found.join(side("left"), "left_id").join(side("right"), "right_id")
 
 
+def city_key_pairs(df: DataFrame, keys=("clean_tc", "clean_phone", "clean_email"), row_id: str = "record_id") -> DataFrame:
+    """Pairs of one city that have one of the keys in common, once each: what rules that ask for an equal key can keep of city_pairs(), without a city's square."""
+    out = None
+    for key in keys:
+        rows = df.where(F.trim(key) != "").select(F.col(row_id).alias("id"), "clean_city", F.col(key).alias("k"))
+        other = rows.select(F.col("id").alias("right_id"), "clean_city", "k")
+        own = rows.join(other, ["clean_city", "k"]).where(F.col("id") < F.col("right_id")).select(F.col("id").alias("left_id"), "right_id")
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
 def city_pairs(df: DataFrame, row_id: str = "record_id") -> DataFrame:
     """The first engine's blocking: one city; the empty one is a city too."""
     a = df.select(F.col(row_id).alias("left_id"), "clean_city")

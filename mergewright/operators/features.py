@@ -1,4 +1,4 @@
-"""Features of candidate pairs. Flags are column expressions; what needs Python is computed once for each distinct pair of values, in one Arrow pass."""
+"""Features of candidate pairs. Flags and edit distance are column expressions over values cleaned once a record; what needs Python is one Arrow pass."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions import similarity as S
-from ..functions.text import digits, surname_or_only, text, tokens
+from ..functions.text import name_form, surname_or_only, text, tokens
 from .blocking import with_records
 
 #: The columns of normalized records that pairs need.
@@ -26,7 +26,7 @@ def _rules_scores(v: pd.DataFrame) -> pd.DataFrame:
     for lo, ro, ln, rn, lp, rp, le, re_, la, ra in v.itertuples(index=False):
         lt, rt = lo.split(), ro.split()
         lf, rf, ls, rs = *(x[0] if x else "" for x in (lt, rt)), *(x[-1] if x else "" for x in (lt, rt))
-        out.append((S.best_of_three(lf, rf), S.best_of_three(ls, rs), S.jaro_winkler(lf, rf), S.jaro_winkler(ls, rs), S.words(lo, ro), S.hybrid(lo, ro), S.levenshtein(ln, rn), S.phone(lp, rp), S.email(le, re_), S.email_user(le, re_), S.best_of_three(la, ra), S.surname_conflict(lo, ro)))
+        out.append((S.best_of_three(lf, rf), S.best_of_three(ls, rs), S.jaro_winkler(lf, rf), S.jaro_winkler(ls, rs), S.words(lo, ro), S.hybrid(lo, ro), 0.0, S.phone(lp, rp), S.email(le, re_), S.email_user(le, re_), S.best_of_three(la, ra), S.surname_conflict(lo, ro)))
     return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
 
 
@@ -36,7 +36,7 @@ def _linkage_scores(v: pd.DataFrame) -> pd.DataFrame:
     for lo, ro, ln, rn, lp, rp, le, re_, lk, rk, lf, rf, ls, rs in v.itertuples(index=False):
         first, last, full = S.name_or_words(lf, rf), S.name_or_words(ls, rs), S.name_or_words(ln, rn)
         mail = max(S.email(lk, rk) if lk and rk else 0.0, S.email(le, re_) if le and re_ else 0.0)
-        out.append((first, last, first, last, S.words(lo, ro), full, S.levenshtein(ln, rn), S.phone(lp, rp), mail, 0.0, 0.0, S.surname_conflict(lo, ro)))
+        out.append((first, last, first, last, S.words(lo, ro), full, 0.0, S.phone(lp, rp), mail, 0.0, 0.0, S.surname_conflict(lo, ro)))
     return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
 
 
@@ -57,23 +57,21 @@ def _ordered(side: str) -> Column:
 
 
 def _scored(pairs: DataFrame, values: dict[str, Column], udf) -> DataFrame:
-    """Adds column s with the scores of the values, which are computed for each distinct combination."""
-    named = pairs.withColumns({f"_v{i}": c for i, c in enumerate(values.values())})
-    keys = [f"_v{i}" for i in range(len(values))]
-    told = named.select(*keys).distinct().withColumn("s", udf(F.struct(*keys)))
-    return named.join(told, keys).drop(*keys)
+    """Adds column s with the scores of the values. Whole combinations hardly repeat, so they aren't looked for; single values do, and a worker remembers them."""
+    return pairs.withColumn("s", udf(F.struct(*(c.alias(f"v{i}") for i, c in enumerate(values.values())))))
 
 
 def both(c: str) -> Column:
-    return (text(f"left_{c}") != "") & (text(f"right_{c}") != "")
+    """Values are without outer space: pair_frame() cleans them once a record, before records meet."""
+    return (_v(f"left_{c}") != "") & (_v(f"right_{c}") != "")
 
 
 def equal(c: str) -> Column:
-    return both(c) & (text(f"left_{c}") == text(f"right_{c}"))
+    return both(c) & (F.col(f"left_{c}") == F.col(f"right_{c}"))
 
 
 def conflict(c: str) -> Column:
-    return both(c) & (text(f"left_{c}") != text(f"right_{c}"))
+    return both(c) & (F.col(f"left_{c}") != F.col(f"right_{c}"))
 
 
 def _names(*cols: str) -> dict[str, Column]:
@@ -101,6 +99,10 @@ def _phonetics() -> dict[str, Column]:
     return _int(phonetic_exact_match=p, metaphone_exact_match=m, phonetic_close_match=p | m)
 
 
+def _edit_distance() -> dict[str, Column]:
+    return {"name_levenshtein_similarity": S.plain_levenshtein_sim("left_name_plain", "right_name_plain")}
+
+
 def rules_features(pairs: DataFrame) -> DataFrame:
     """pairs with left_ and right_ COLUMNS -> the 38 features of the rule matcher as columns beside left_id and right_id."""
     p = _scored(pairs, _names("ordered", "clean_name", "clean_phone", "clean_email", "clean_address"), _rules_scores)
@@ -117,7 +119,7 @@ def rules_features(pairs: DataFrame) -> DataFrame:
         muhatap_no_exact_match=equal("clean_muhatap_no"), muhatap_no_conflict=conflict("clean_muhatap_no"), muhatap_present_both=both("clean_muhatap_no"), name_present_both=both("clean_name"),
         first_name_exact_match=(lf != "") & (lf == rf), surname_exact_match=(ls != "") & (ls == rs), same_surname_name_conflict=F.col("s.surname_conflict"),
     )
-    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES}
+    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES} | _edit_distance()
     out |= {"name_jaro_winkler": F.col("s.name_similarity"), "common_non_empty_fields": _common("clean_tc", "clean_phone", "clean_email", "clean_name", "clean_city", "clean_address", "clean_muhatap_no")}
     return p.select("left_id", "right_id", *(c.alias(n) for n, c in out.items()))
 
@@ -134,7 +136,7 @@ def linkage_features(pairs: DataFrame) -> DataFrame:
         email_present_both=both("clean_email") | both("email_normalized_key"), city_exact_match=city, city_match=city, name_present_both=both("clean_name"),
         first_name_exact_match=equal("first_name"), surname_exact_match=equal("last_name"), same_surname_name_conflict=F.col("s.surname_conflict"),
     )
-    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES if n not in ("email_username_similarity",)}
+    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES if n not in ("email_username_similarity",)} | _edit_distance()
     out |= {"name_jaro_winkler": F.col("s.name_similarity"), "common_non_empty_fields": _common("clean_tc", "clean_phone", "email_normalized_key", "clean_name", "clean_city", "clean_address", "clean_muhatap_no")}
     return p.select("left_id", "right_id", *(c.alias(n) for n, c in out.items()))
 
@@ -198,12 +200,13 @@ def field_comparisons(pairs: DataFrame, source: str = "admin_review") -> DataFra
 def pair_frame(found: DataFrame, records: DataFrame) -> DataFrame:
     """Pairs with their records' COLUMNS. clean_name_ordered, the name in its own order, is clean_name where records have no such column."""
     r = records if "clean_name_ordered" in records.columns else records.withColumn("clean_name_ordered", F.col("clean_name"))
-    return with_records(found, r, COLUMNS)
+    r = r.select("record_id", *(text(c).alias(c) for c in COLUMNS)).withColumn("name_plain", name_form("clean_name"))
+    return with_records(found, r, [*COLUMNS, "name_plain"])
 
 
 def exact_flags(pairs: DataFrame) -> DataFrame:
     """The native flags only, for pairs that a first filter goes over."""
-    last7 = both("clean_phone") & (F.right(digits("left_clean_phone"), F.lit(7)) == F.right(digits("right_clean_phone"), F.lit(7)))
+    last7 = both("clean_phone") & (F.right("left_clean_phone", F.lit(7)) == F.right("right_clean_phone", F.lit(7)))
     flags = _int(tc_exact_match=equal("clean_tc"), tc_conflict=conflict("clean_tc"), phone_exact_match=equal("clean_phone"), phone_last7_match=last7, email_exact_match=equal("clean_email"), city_exact_match=equal("clean_city"), muhatap_no_exact_match=equal("clean_muhatap_no"), muhatap_no_conflict=conflict("clean_muhatap_no"), phonetic_exact_match=equal("name_phonetic_key"), metaphone_exact_match=equal("name_metaphone_key"))
-    more = {"name_levenshtein_similarity": S.levenshtein_sim("left_clean_name", "right_clean_name"), "common_non_empty_fields": _common("clean_tc", "clean_phone", "clean_email", "clean_name", "clean_city", "clean_address", "clean_muhatap_no")}
+    more = {"name_levenshtein_similarity": S.plain_levenshtein_sim("left_name_plain", "right_name_plain"), "common_non_empty_fields": _common("clean_tc", "clean_phone", "clean_email", "clean_name", "clean_city", "clean_address", "clean_muhatap_no")}
     return pairs.select("left_id", "right_id", *(c.alias(n) for n, c in (flags | more).items()))

@@ -22,11 +22,9 @@ def groups(candidates: DataFrame, by_decision: bool = True) -> DataFrame:
     """record_id, group_id (the component's smallest id), decision: components of two records or more, of each decision separately."""
     if not by_decision:
         return connected_components(candidates, "left_id", "right_id").select(F.col("node").alias("record_id"), F.col("root").alias("group_id"), F.lit(None).cast("string").alias("decision"))
-    out = None
-    for d in ("pending", "approved", "rejected"):
-        own = connected_components(candidates.where(F.col("decision") == d), "left_id", "right_id").select(F.col("node").alias("record_id"), F.col("root").alias("group_id"), F.lit(d).alias("decision"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    node = lambda c: F.struct("decision", F.col(c).alias("id")).alias(c)
+    known = candidates.where(F.col("decision").isin("pending", "approved", "rejected")).select(node("left_id"), node("right_id"))
+    return connected_components(known, "left_id", "right_id").select(F.col("node.id").alias("record_id"), F.col("root.id").alias("group_id"), F.col("node.decision").alias("decision"))
 
 
 def metrics(members: DataFrame) -> DataFrame:
@@ -43,15 +41,24 @@ def summary(members: DataFrame, candidates: DataFrame, records: DataFrame) -> Da
     return out.withColumn("group_key", F.concat(F.lit("rec_"), F.col("group_id")))
 
 
-def listing(members: DataFrame, candidates: DataFrame, records: DataFrame, memberships: DataFrame | None = None, several_codes: bool = True, decision: str | None = None) -> DataFrame:
-    """The groups to review, best first. Confirmed members leave pending groups, groups under two records go, all of this before any paging."""
+def listing(members: DataFrame, candidates: DataFrame, records: DataFrame, memberships: DataFrame | None = None, several_codes: bool = True, decision: str | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """The groups to review, by (group_score, match_count), the mean display score first. scored: left_id, decision and general_weighted_percent of pairs; without it
+    the pairs' review features are scored. Confirmed members leave pending groups, groups under two records go, all of this before any paging."""
     m = members if decision is None else members.where(F.col("decision") == decision)
     if memberships is not None:
         done = memberships.where("status = 'confirmed'").select(F.col("normalized_record_id").alias("record_id"), F.lit("pending").alias("decision")).distinct()
         m = m.join(done, ["record_id", "decision"], "left_anti")
     out = summary(m, candidates, records).where("record_count >= 2")
     out = out.where("different_muhatap_code") if several_codes else out
-    return out.orderBy(F.desc_nulls_last("max_score"), F.desc_nulls_last("match_count"), "decision", "group_id")
+    if scored is None:
+        from ..functions.scoring import Features, weighted_score
+        from .features import pair_frame, review_features
+
+        f = review_features(pair_frame(candidates.select("left_id", "right_id").distinct(), records))
+        f = f.select("left_id", "right_id", weighted_score(Features.of(f)).alias("general_weighted_percent"))
+        scored = candidates.select("left_id", "right_id", "decision").join(f, ["left_id", "right_id"])
+    out = out.join(display_scores(scored, m), ["decision", "group_id"], "left")
+    return out.orderBy(F.desc_nulls_last("group_score"), F.desc_nulls_last("match_count"), "decision", "group_id")
 
 
 def different_codes(pairs: DataFrame) -> DataFrame:
@@ -71,8 +78,8 @@ def search(members: DataFrame, records: DataFrame, term: str) -> DataFrame:
 
 
 def display_scores(scored: DataFrame, members: DataFrame) -> DataFrame:
-    """scored: left_id and general_weighted_percent -> the mean and best of a group's pairs as shares."""
-    p = scored.select(F.col("left_id").alias("record_id"), (F.col("general_weighted_percent") / 100).alias("s")).join(members, "record_id")
+    """scored: left_id, decision and general_weighted_percent -> the mean and best of a group's pairs as shares."""
+    p = scored.select(F.col("left_id").alias("record_id"), "decision", (F.col("general_weighted_percent") / 100).alias("s")).join(members, ["record_id", "decision"])
     return p.groupBy("decision", "group_id").agg(F.round(F.avg("s"), 4).alias("group_score"), F.round(F.max("s"), 4).alias("max_group_score"))
 
 

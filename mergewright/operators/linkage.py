@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import Features, confidence, decision, risk_flags, rule_reasons, review_name_band, weighted_breakdown
 from ..functions.similarity import jaro
 from ..plans.tables import cut
-from .blocking import LINKAGE_PASSES, column_pairs, pairs
+from .blocking import LINKAGE_PASSES, bare_pairs, column_pairs
 from .features import both, linkage_features, pair_frame
 
 #: Field, column, thresholds of its similarity levels (none: equal or not).
@@ -139,7 +139,10 @@ def random_pairs(records: DataFrame, n: int = U_PAIRS, seed: int = 42) -> DataFr
 def prior(records: DataFrame, recall: float = RECALL) -> float:
     """The share of matches among all pairs, from the pairs that one id or one phonetic name gives, at an assumed recall."""
     n = records.count()
-    hit = column_pairs(records, "clean_tc").select("left_id", "right_id").unionByName(column_pairs(records, "name_phonetic_key").select("left_id", "right_id")).distinct().count()
+    own = records.select(F.trim("clean_tc").alias("tc"), F.trim("name_phonetic_key").alias("ph"))
+    two = F.sum(F.col("count") * (F.col("count") - 1) / 2)
+    by = lambda *keys: own.where(" and ".join(f"{k} <> ''" for k in keys)).groupBy(*keys).count().agg(F.coalesce(two, F.lit(0.0))).first()[0]
+    hit = by("tc") + by("ph") - by("tc", "ph")  # pairs are counted from block sizes, not made
     return min(0.5, max(1e-9, hit / recall / max(1.0, n * (n - 1) / 2)))
 
 
@@ -167,7 +170,7 @@ def predict(records: DataFrame, model: Model | None = None, threshold: float = T
     """Candidates at or above the threshold, and those below that share tc, phone or e-mail key; conflicts are capped. Surest first where it matters: see ordered."""
     records = cut(records, "records")
     model = train(records) if model is None else model
-    found = pairs(records, passes)
+    found = bare_pairs(records, passes)
     flat = cut(levels(pair_frame(found, records)), "levels")
     scored = flat.withColumns({"match_weight": model.match_weight(), "match_probability": model.probability()})
     same = (F.col("g_tc") == 1) | (F.col("g_phone") == 1) | (F.col("g_email") == 3)

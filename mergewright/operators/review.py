@@ -85,12 +85,18 @@ def muhatap_conflicts(memberships: DataFrame, records: DataFrame, ids: list[int]
     return (rows if except_entity is None else rows.where(F.col("entity_id") != except_entity)).select("entity_id", "upload_id").distinct()
 
 
-def co_review(reviewers: int, required: int) -> None:
-    """A merge needs the acknowledgement of as many reviewers as the setting (1 to 20) says."""
-    if reviewers < max(1, min(20, required)):
+def co_review(acknowledged: bool, required: int) -> None:
+    """If the setting (1 to 20) asks for several reviewers, a merge must say that the others have seen it."""
+    if max(1, min(20, required)) > 1 and not acknowledged:
         raise Refused("more reviewers must confirm this")
 
 
+def _changed(before: State, after: State) -> DataFrame:
+    """The candidates whose decision is another than before."""
+    old = before.candidates.select("id", F.col("decision").alias("old"))
+    return after.candidates.join(old, "id").where("decision <> old").drop("old")
+
+
 def _match(state: State, match_id: int, *allowed: str):
     row = state.candidates.where(F.col("id") == match_id).head()
     if row is None or row.decision not in allowed:
@@ -158,8 +164,10 @@ def _array(ids: list[int]) -> Column:
     return F.array(*map(F.lit, ids)).cast("array<bigint>")
 
 
-def partial_approve(state: State, group: list[int], approved: list[int], rejected: list[int], by: str, reason: str = "", entity_id: int | None = None) -> tuple[State, int | None]:
+def partial_approve(state: State, group: list[int], approved: list[int], rejected: list[int], by: str, reason: str = "", entity_id: int | None = None, acknowledged: bool = False, required: int = 1) -> tuple[State, int | None]:
     """Some of a group's records become an entity, some are turned down, the others wait."""
+    co_review(acknowledged, required)
+    before = state
     if set(approved) & set(rejected):
         raise Refused("a record can't be approved and rejected")
     if (set(approved) | set(rejected)) - set(group) or len(approved) == 1:
@@ -170,24 +178,32 @@ def partial_approve(state: State, group: list[int], approved: list[int], rejecte
         state = _entity(state, entity, sorted(approved), by)
     inside = F.col("left_id").isin(group) & F.col("right_id").isin(group)
     state = replace(state, candidates=_decide(state, inside, partial_decision(F.col("left_id"), F.col("right_id"), _array(approved), _array(rejected))))
-    return state.log(state.candidates.where(inside), "", by, reason, "partial_approve", entity), entity
+    return state.log(_changed(before, state), "", by, reason, "partial_approve", entity), entity
 
 
-def merge_into(state: State, entity_id: int, group: list[int], selected: list[int], by: str, reason: str = "") -> State:
-    """Selected records join an entity; pairs between it and the group's others are rejected."""
+def merge_into(state: State, entity_id: int, group: list[int], selected: list[int], by: str, reason: str = "", acknowledged: bool = False, required: int = 1) -> State:
+    """Selected records of a group join an entity; pairs between it and the group's others are rejected."""
+    co_review(acknowledged, required)
+    if set(selected) - set(group):
+        raise Refused("the selected records must be of the group")
+    before = state
     now = [r.normalized_record_id for r in state.memberships.where((F.col("entity_id") == entity_id) & (F.col("status") == "confirmed")).collect()]
     if not now or not selected:
         raise Refused("no such entity, or nothing selected")
     union, others = sorted({*now, *selected}), sorted(set(group) - set(selected) - set(now))
+    if len(union) < 2:
+        raise Refused("an entity needs two records")
     state = _entity(state, entity_id, union, by)
     touched = sorted({*union, *others})
     inside = F.col("left_id").isin(touched) & F.col("right_id").isin(touched)
     state = replace(state, candidates=_decide(state, inside, merge_decision(F.col("left_id"), F.col("right_id"), _array(union), _array(others))))
-    return state.log(state.candidates.where(inside), "", by, reason, "merge_into_entity", entity_id)
+    return state.log(_changed(before, state), "", by, reason, "merge_into_entity", entity_id)
 
 
-def remove_member(state: State, entity_id: int, record_id: int, by: str, reason: str = "") -> State:
-    """A record leaves an entity of three or more; its pairs with those that stay are rejected, its others wait again."""
+def remove_member(state: State, entity_id: int, record_id: int, by: str, reason: str = "", runs: list[int] | None = None) -> State:
+    """A record leaves an entity; its pairs with those that stay are rejected, its others wait again. runs: the detection runs of the upload at hand; other
+    runs' pairs stay as they are (none given: all are of it). Only pairs whose decision changes are logged."""
+    before = state
     now = [r.normalized_record_id for r in state.memberships.where((F.col("entity_id") == entity_id) & (F.col("status") == "confirmed")).collect()]
     rest = sorted(set(now) - {record_id})
     if record_id not in now or not rest:
@@ -195,8 +211,9 @@ def remove_member(state: State, entity_id: int, record_id: int, by: str, reason:
     members = state.memberships.where(~((F.col("entity_id") == entity_id) & (F.col("normalized_record_id") == record_id)))
     state = _entity(replace(state, memberships=members), entity_id, rest, by)
     new = remove_decision(F.col("left_id"), F.col("right_id"), F.lit(record_id), _array(rest))
-    state = replace(state, candidates=state.candidates.withColumn("decision", F.coalesce(new, F.col("decision"))))
-    return state.log(state.candidates.where((F.col("left_id") == record_id) | (F.col("right_id") == record_id)), "", by, reason, "remove_member", entity_id)
+    mine = F.lit(True) if runs is None else F.col("detection_run_id").isin(runs)
+    state = replace(state, candidates=state.candidates.withColumn("decision", F.when(mine, F.coalesce(new, F.col("decision"))).otherwise(F.col("decision"))))
+    return state.log(_changed(before, state), "", by, reason, "remove_member", entity_id)
 
 
 def edit_golden(state: State, entity_id: int, changes: dict[str, str], by: str) -> State:

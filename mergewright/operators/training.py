@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import Features, weak_label
 from ..plans.tables import cut
+from ..sources.sinks import number
 from .features import pair_frame, rules_features
 from .review import latest_reviews
 
@@ -120,10 +121,16 @@ def ground_truth(candidates: DataFrame, actions: DataFrame, features: DataFrame)
     return labels(candidates, actions).join(features.select("left_id", "right_id", *own), ["left_id", "right_id"]).select("id", "left_id", "right_id", "label", *CANONICAL)
 
 
-def split(df: DataFrame, share: float = 0.2, key: str = "left_id") -> DataFrame:
-    """Adds is_test: of each class the share whose rows hash lowest, the same at every run."""
-    rank = F.percent_rank().over(W.partitionBy("label", F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.xxhash64("left_id", "right_id")))
-    return df.withColumn("is_test", rank < share)
+def split(df: DataFrame, share: float = 0.2) -> DataFrame:
+    """Adds is_test: of each class the share, to the nearest row, whose pairs hash lowest, the same at every run; a class of two rows or more has one at least on
+    each side. Rows are numbered through range partitions, so no class has to fit a task."""
+    counts = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    rows, before, edge = number(df.withColumn("_h", F.xxhash64("left_id", "right_id")), ["label", "_h", "left_id", "right_id"], "_no"), 0, F.lit(0)
+    for label, n in sorted(counts.items()):
+        take = min(n - 1, max(1, round(share * n))) if n > 1 else 0
+        edge = F.when(F.col("label") == label, before + take).otherwise(edge)
+        before += n
+    return rows.withColumn("is_test", F.col("_no") <= edge).drop("_no", "_h")
 
 
 def train_forest(df: DataFrame, columns: list[str] | None = None, trees: int = 200, seed: int = 42) -> tuple[PipelineModel, dict]:

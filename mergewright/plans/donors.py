@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.blocking import pairs
+from ..operators.blocking import bare_pairs
 from ..operators.groups import groups
 from ..operators.normalize import normalize
 
@@ -48,7 +48,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs by multi-pass blocking with made-up scores and decisions; created_at in seconds."""
-    p = pairs(records(spark, sf_dir))
+    p = bare_pairs(records(spark, sf_dir))
     sum_ = F.col("left_id") + F.col("right_id")
     return p.select(
         (F.col("left_id") * 1000000 + F.col("right_id")).alias("id"), F.lit(1).cast("long").alias("detection_run_id"), "left_id", "right_id", ((F.col("left_id") * 7 + F.col("right_id") * 13) % 101 / 100.0).alias("score"),

@@ -42,7 +42,7 @@ IDS = ["left_id", "right_id"]
 
 def _flat(spark, sf) -> DataFrame:
     r = D.records(spark, sf)
-    return X.pair_frame(B.pairs(r), r)
+    return X.pair_frame(B.bare_pairs(r), r)
 
 
 def _flags(spark, sf) -> DataFrame:
@@ -139,7 +139,7 @@ def pairs_email(spark, sf):
 
 @query("SELECT left_id, right_id, pass FROM pairs")
 def pairs_multi_pass(spark, sf):
-    return B.pairs(D.records(spark, sf)).select(*IDS, "pass")
+    return B.bare_pairs(D.records(spark, sf)).select(*IDS, "pass")
 
 
 @query("SELECT left_id, right_id, pass, key FROM pairs ORDER BY pass, key, left_id, right_id LIMIT 500")
@@ -149,7 +149,7 @@ def pairs_capped(spark, sf):
 
 @query("SELECT a.record_id AS left_id, b.record_id AS right_id FROM norm a JOIN norm b ON a.record_id < b.record_id AND ((a.clean_tc <> '' AND a.clean_tc = b.clean_tc) OR (a.clean_phone <> '' AND a.clean_phone = b.clean_phone) OR (a.email_normalized_key <> '' AND a.email_normalized_key = b.email_normalized_key) OR (a.name_phonetic_key <> '' AND a.name_phonetic_key = b.name_phonetic_key))")
 def pairs_linkage(spark, sf):
-    return B.pairs(D.records(spark, sf), B.LINKAGE_PASSES).select(*IDS)
+    return B.bare_pairs(D.records(spark, sf), B.LINKAGE_PASSES).select(*IDS)
 
 
 @query("SELECT left_id, right_id FROM (SELECT left_id, right_id FROM allpairs WHERE pass = 0 EXCEPT SELECT left_id, right_id FROM allpairs WHERE pass = 1) UNION SELECT left_id, right_id FROM (SELECT left_id, right_id FROM allpairs WHERE pass = 1 INTERSECT SELECT left_id, right_id FROM allpairs WHERE pass = 2)")
@@ -293,9 +293,11 @@ def group_metrics(spark, sf):
     return out.select("group_id", "record_count", "match_count", "avg_score", "max_score", F.array_join("muhatap_codes", ",").alias("muhatap_codes"), "different_muhatap_code")
 
 
-@query(f"SELECT group_id, record_count, match_count, max_score FROM ({_gsum}) WHERE different_muhatap_code AND record_count >= 2 ORDER BY max_score DESC, match_count DESC, group_id LIMIT 50")
+@query(f"SELECT group_id, record_count, match_count, max_score FROM ({_gsum}) WHERE different_muhatap_code AND record_count >= 2 ORDER BY avg_score DESC, match_count DESC, group_id LIMIT 50")
 def different_muhatap(spark, sf):
-    return R.page(R.listing(_approved(spark, sf), D.candidates(spark, sf), D.records(spark, sf)), 1, 50).select("group_id", "record_count", "match_count", "max_score")
+    c = D.candidates(spark, sf)
+    scored = c.select("left_id", "decision", (F.col("score") * 100).alias("general_weighted_percent"))
+    return R.page(R.listing(_approved(spark, sf), c, D.records(spark, sf), scored=scored), 1, 50).select("group_id", "record_count", "match_count", "max_score")
 
 
 @query("SELECT count(DISTINCT group_id) AS duplicate_group_count, count(*) AS affected_record_count FROM comp")
@@ -425,7 +427,7 @@ def report_quality(spark, sf):
 
 @query("SELECT (SELECT count(*) FROM runs WHERE created_at >= TIMESTAMP '1995-01-01' AND created_at <= TIMESTAMP '1996-06-30') AS n")
 def date_range(spark, sf):
-    return Q.between(D.runs(spark, sf), "created_at", "1995-01-01", "1996-06-30 00:00:00").agg(F.count("*").alias("n"))
+    return Q.between(D.runs(spark, sf), "created_at", "1995-01-01", "1996-06-30T00:00:00Z").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT (SELECT count(*) FROM runs) AS total_detection_runs, (SELECT CAST(sum(duplicate_group_count) AS BIGINT) FROM runs) AS total_duplicate_groups, (SELECT CAST(sum(affected_record_count) AS BIGINT) FROM runs) AS total_affected_records, count(*) AS total_match_candidates, {_dec}, round(avg(score) * 100, 2) AS avg_score_pct FROM cand")
@@ -550,3 +552,90 @@ def upload_scope(spark, sf):
     from ..sources.readers import scope
 
     return scope(D.records(spark, sf), upload_id=2).select("record_id", "clean_name", "clean_tc")
+
+
+#: Feature rows made up from the customers' keys, alike on both engines, so that every branch of the scores, flags and bands is met.
+_k = "c_custkey"
+_sim = lambda p: f"({_k} * {p} % 101) / 1e2"
+_on = lambda c: f"CAST({c} AS INT)"
+FEATURE_ROWS = "SELECT *, " + ", ".join((
+    f"{_on('shared_contact_flag = 1 AND first_name_similarity < 0.55 AND surname_similarity >= 0.80')} AS shared_contact_name_conflict",
+    f"{_on('shared_contact_flag = 1 AND surname_similarity >= 0.80 AND first_name_similarity < 0.70')} AS household_risk_flag",
+    f"{_on('phonetic_exact_match = 1 OR metaphone_exact_match = 1')} AS phonetic_close_match",
+)) + " FROM (SELECT " + ", ".join((
+    f"{_k} AS id", f"{_on(f'{_k} % 5 = 0')} AS tc_exact_match", f"{_on(f'{_k} % 5 = 1')} AS tc_conflict", f"{_on(f'{_k} % 5 < 2')} AS tc_present_both", f"{_on(f'{_k} % 7 = 0')} AS phone_exact_match", f"{_on(f'{_k} % 7 < 2')} AS phone_last7_match",
+    f"{_on(f'{_k} % 7 < 5')} AS phone_present_both", f"{_on(f'{_k} % 11 = 0')} AS email_exact_match", f"{_on(f'{_k} % 11 < 6')} AS email_present_both", f"{_on(f'{_k} % 7 = 0 OR {_k} % 11 = 0')} AS shared_contact_flag",
+    f"{_on(f'{_k} % 13 = 0')} AS muhatap_no_exact_match", f"{_on(f'{_k} % 13 IN (1, 2, 3)')} AS muhatap_no_conflict", f"{_on(f'{_k} % 13 < 4')} AS muhatap_present_both", f"{_on(f'{_k} % 3 = 0')} AS city_exact_match",
+    f"{_on(f'{_k} % 17 < 5')} AS phonetic_exact_match", f"{_on(f'{_k} % 19 < 6')} AS metaphone_exact_match", f"{_on(f'{_k} % 23 < 4')} AS first_name_exact_match", f"{_on(f'{_k} % 29 < 9')} AS surname_exact_match", f"{_on(f'{_k} % 31 < 6')} AS same_surname_name_conflict",
+    f"{_on(f'{_k} % 6 > 0')} AS name_present_both", f"{_k} % 8 AS common_non_empty_fields", f"{_k} % 5 - 1 AS level", f"CASE WHEN {_k} % 4 = 0 THEN 'Splink_v4' ELSE 'rules_v1' END AS source",
+    *(f"{_sim(p)} AS {n}" for n, p in (("name_similarity", 37), ("name_jaro_winkler", 41), ("name_levenshtein_similarity", 43), ("email_similarity", 53), ("phone_similarity", 59), ("first_name_similarity", 61), ("surname_similarity", 67), ("first_name_jaro_winkler", 71), ("surname_jaro_winkler", 73))),
+)) + " FROM customer)"
+
+
+def _feature_rows(spark, sf) -> DataFrame:
+    return spark.sql(FEATURE_ROWS.replace("FROM customer", "FROM {customer}"), customer=D.table(spark, sf, "customer").select("c_custkey"))
+
+
+_z = f"{C.LOGISTIC_BIAS}" + "".join(f" + {w} * {n}" for n, w in C.LOGISTIC.items())
+
+
+@query(f"SELECT id, round(1.0 / (1.0 + exp(-({_z}))), 4) AS score FROM ({FEATURE_ROWS})")
+def scoring_logistic(spark, sf):
+    """All 24 terms."""
+    f = _feature_rows(spark, sf)
+    return f.select("id", C.logistic_score(C.Features.of(f)).alias("score"))
+
+
+_top = "30e0 * name_present_both * greatest(name_similarity, first_name_similarity * 0.5e0 + surname_similarity * 0.5e0) + 35e0 * tc_present_both * tc_exact_match + 15e0 * phone_present_both * greatest(phone_similarity, phone_exact_match) + 1e1 * email_present_both * greatest(email_similarity, email_exact_match) + 1e1 * muhatap_present_both * muhatap_no_exact_match"
+_bottom = "30e0 * name_present_both + 35e0 * tc_present_both + 15e0 * phone_present_both + 1e1 * email_present_both + 1e1 * muhatap_present_both"
+
+
+@query(f"SELECT id, CASE WHEN b > 0 THEN CAST(round(CAST(1e2 * t / b AS VARCHAR)::DECIMAL(38, 20), 2) AS DOUBLE) ELSE 0.0 END AS general FROM (SELECT id, {_top} AS t, {_bottom} AS b FROM ({FEATURE_ROWS}))")
+def scoring_weighted(spark, sf):
+    """All five parts, each with and without."""
+    f = _feature_rows(spark, sf)
+    return f.select("id", C.weighted_score(C.Features.of(f)).alias("general"))
+
+
+_noid = "tc_exact_match + tc_conflict + phone_exact_match + email_exact_match = 0"
+_flag_sql = {
+    "tc_conflict": "tc_conflict = 1", "muhatap_no_conflict": "muhatap_no_conflict = 1", "shared_contact": "shared_contact_flag = 1", "shared_contact_name_conflict": "shared_contact_name_conflict = 1", "household_risk": "household_risk_flag = 1",
+    "same_surname_name_conflict": "same_surname_name_conflict = 1", "email_high_identity_weak": "email_similarity >= 0.85 AND tc_exact_match + phone_exact_match = 0 AND name_similarity < 0.8",
+    "weak_identity_evidence": f"{_noid} AND name_similarity >= 0.8", "cross_city_contact_mismatch": f"{_noid} AND city_exact_match = 0", "sparse_data": "common_non_empty_fields <= 2",
+}
+_all = list(_flag_sql)
+_kinds = {"rules": [*_all[:6], _all[9]], "linkage": _all, "review": [*_all[:3], _all[5], *_all[6:8], _all[9]]}
+_flags_of = lambda kind: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_flag_sql[n]} THEN '{n}' END" for n in _kinds[kind]) + f"], lambda x: x IS NOT NULL), ',') AS {kind}"
+
+
+@query(f"SELECT id, {', '.join(map(_flags_of, _kinds))} FROM ({FEATURE_ROWS})")
+def scoring_flags(spark, sf):
+    """All ten risk flags in the three variants."""
+    f = _feature_rows(spark, sf)
+    return f.select("id", *(F.array_join(C.risk_flags(C.Features.of(f), k), ",").alias(k) for k in _kinds))
+
+
+@query(f"SELECT id, CASE WHEN tc_conflict = 1 OR (household_risk_flag = 1 AND shared_contact_name_conflict = 1 AND tc_exact_match = 0) OR (name_similarity < 0.55 AND shared_contact_flag = 1) THEN 0 WHEN tc_exact_match = 1 OR (email_exact_match = 1 AND name_similarity >= 0.85) OR (phone_exact_match = 1 AND name_similarity >= 0.88) OR (name_similarity >= 0.97 AND phonetic_exact_match + metaphone_exact_match > 0) THEN 1 ELSE -1 END AS label, 'pending' AS decision, tc_conflict, household_risk_flag, muhatap_no_conflict, CASE WHEN source LIKE 'Splink%' THEN 'splink' WHEN tc_exact_match + phone_exact_match + email_exact_match > 0 THEN 'exact' WHEN phonetic_exact_match + metaphone_exact_match > 0 THEN 'phonetic' WHEN name_similarity > 0 THEN 'fuzzy' ELSE 'ml' END AS match_type FROM ({FEATURE_ROWS})")
+def scoring_labels(spark, sf):
+    """Weak labels, the decision with its trace, and the type of a match."""
+    f = _feature_rows(spark, sf)
+    x = C.Features.of(f)
+    return f.select("id", C.weak_label(x).alias("label"), C.decision(F.col("name_similarity")).alias("decision"), C.decision_trace(x).alias("t"), C.match_type(x, F.col("source")).alias("match_type")).select("id", "label", "decision", "t.*", "match_type")
+
+
+_b = lambda c, exact, *steps: "CASE " + (f"WHEN {exact} THEN 'exact_match' " if exact else "") + " ".join(f"WHEN {c} >= {x} THEN '{n}_match'" for x, n in steps)
+
+
+@query(f"SELECT id, {_b('name_similarity', 'first_name_exact_match = 1', (0.9, 'strong'), (0.7, 'partial'))} WHEN name_similarity > 0 THEN 'mismatch' ELSE 'missing' END AS rules_name, {_b('name_similarity', 'name_similarity >= 1', (0.92, 'strong'), (0.8, 'partial'))} ELSE 'mismatch' END AS review_name, {_b('phone_similarity', 'phone_exact_match = 1', (0.85, 'strong'), (0.6, 'partial'), (0.2, 'weak'))} ELSE 'mismatch' END AS contact, CASE WHEN level = 3 THEN 'exact_match' WHEN first_name_similarity >= 0.95 OR level = 2 THEN 'strong_match' WHEN first_name_similarity >= 0.85 OR level = 1 THEN 'partial_match' ELSE 'mismatch' END AS by_level, CAST(round(100 * name_similarity) AS INT) AS percent FROM ({FEATURE_ROWS})")
+def scoring_bands(spark, sf):
+    """The four tables of bands, and percent."""
+    f = _feature_rows(spark, sf)
+    c = F.col
+    return f.select("id", C.name_band(c("name_similarity"), c("first_name_exact_match") == 1).alias("rules_name"), C.review_name_band(c("name_similarity")).alias("review_name"), C.contact_band(c("phone_similarity"), c("phone_exact_match") == 1).alias("contact"), C.level_band(c("level"), c("first_name_similarity"), 0.95, 0.85).alias("by_level"), C.percent(c("name_similarity")).alias("percent"))
+
+
+@query("SELECT left_id, right_id, jw, phone, mail FROM (VALUES (1, 2, 0.9611, 0.4667, 0.7333)) t(left_id, right_id, jw, phone, mail)")
+def similarity_vectors(spark, sf):
+    """Values worked out by hand: MARTHA and MARHTA, two phones, two e-mails."""
+    S.register(spark)
+    return spark.sql("SELECT 1 AS left_id, 2 AS right_id, jaro_winkler_tr('MARTHA', 'MARHTA') AS jw, phone_sim('054463982', '054362862') AS phone, email_sim('zehra@gmail.com', 'zehrabagis@gmail.com') AS mail")

@@ -86,7 +86,7 @@ def entity_summary(entities: DataFrame, entity_map: DataFrame) -> DataFrame:
 def pending_matches(candidates: DataFrame, records: DataFrame) -> DataFrame:
     """Pending pairs with both records' names and contacts, the surest first."""
     side = lambda s: records.select(F.col("record_id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in ("clean_name", "clean_phone", "clean_email", "clean_city")))
-    return candidates.where("decision = 'pending'").join(side("left"), "left_id").join(side("right"), "right_id")
+    return candidates.where("decision = 'pending'").join(side("left"), "left_id").join(side("right"), "right_id").orderBy(F.desc_nulls_last("score"), "left_id", "right_id")
 
 
 def candidate_list(candidates: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
