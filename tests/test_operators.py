@@ -153,3 +153,52 @@ def test_forest_scores_are_of_the_whole_forest(spark, monkeypatch):
     assert QUERIES["forest_scores"](spark, "/root/testdata/sf0.001").count() > 0
     forest = made[0][0].stages[1]
     assert forest.getNumTrees == 200 and forest.getMaxDepth() == 30
+
+
+@pytest.mark.parametrize("n", [10, 20, 200])
+def test_forest_split_is_stratified(spark, n):
+    df = spark.createDataFrame([(i, i + 1000, int(i % 4 == 0), i % 7 / 7, 0.5) for i in range(n)], "left_id long, right_id long, label int, name_similarity double, email_similarity double")
+    rows = training.split(df).groupBy("label", "is_test").count().collect()
+    for label in (0, 1):
+        own = {r.is_test: r["count"] for r in rows if r.label == label}
+        assert abs(own[True] - 0.2 * sum(own.values())) <= 1 and own[False] > own[True]
+    model, figures = training.train_forest(df, trees=3)
+    assert figures["train_size"] + figures["test_size"] == n and abs(figures["test_size"] - 0.2 * n) <= 1
+    assert training.predict(model, df).count() == n
+
+
+def test_review_gates(spark):
+    s = state(spark)
+    with pytest.raises(review.Refused):
+        review.partial_approve(s, [1, 2, 3, 4], [1, 2], [], "me", required=2)
+    s, e = review.partial_approve(s, [1, 2, 3, 4], [1, 2], [], "me", acknowledged=True, required=2)
+    for group, selected in (([3, 4], [3, 9]), ([3, 4], [])):
+        with pytest.raises(review.Refused):
+            review.merge_into(s, e, group, selected, "me")
+    with pytest.raises(review.Refused):
+        review.merge_into(s, e, [3, 4], [3], "me", required=3)
+    logged = s.actions.count()
+    other = review.remove_member(s, e, 1, "me", runs=[99])
+    assert decisions(other) == decisions(s) and other.actions.count() == logged
+    s = review.remove_member(s, e, 1, "me", runs=[1])
+    assert decisions(s)[(1, 2)] == "rejected" and decisions(s)[(1, 3)] == "pending"
+    assert s.actions.count() == logged + 3
+
+
+def test_groups_of_all_decisions_at_once(spark):
+    from mergewright.operators import groups as R
+
+    rows = [(1, 2, "pending"), (2, 3, "pending"), (2, 3, "approved"), (7, 8, "rejected"), (8, 9, "other")]
+    got = R.groups(spark.createDataFrame(rows, "left_id long, right_id long, decision string")).collect()
+    assert {(r.record_id, r.group_id, r.decision) for r in got} == {(1, 1, "pending"), (2, 1, "pending"), (3, 1, "pending"), (2, 2, "approved"), (3, 2, "approved"), (7, 7, "rejected"), (8, 7, "rejected")}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from mergewright.plans import tables
+
+    none = N(isDefined=lambda: False)
+    context = N(master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(N(conf=N(get=lambda *a: None), sparkContext=context))
