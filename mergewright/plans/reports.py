@@ -180,3 +180,20 @@ def filters(df: DataFrame, is_valid: bool | None = None, search: str | None = No
         empty = F.coalesce(F.col(c), F.lit("")) == ""
         df = df.where(empty if gone else ~empty)
     return df
+
+
+#: The columns of exported approved matches.
+APPROVED_FIELDS = ["match_id", "detection_run_id", "left_id", "right_id", "score", "confidence", "match_type", "decision", "created_at"]
+
+
+def approved_matches(candidates: DataFrame) -> DataFrame:
+    """Approved pairs for export, the newest first; columns that the table lacks are left to the writer, which leaves them empty."""
+    return candidates.where("decision = 'approved'").withColumnRenamed("id", "match_id").orderBy(F.desc("created_at"), "match_id")
+
+
+def group_rows(members: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Groups for export: key, ids joined in order, their number; listed: the groups' listing, whose scores and counts are added."""
+    out = members.groupBy("decision", F.col("group_id").alias("_g")).agg(F.array_join(F.array_sort(F.collect_set("record_id")), ",").alias("record_ids"), F.count_distinct("record_id").alias("record_count"))
+    if listed is not None:
+        out = out.join(listed.select("decision", F.col("group_id").alias("_g"), "group_score", F.col("max_group_score").alias("group_score_max"), "match_count"), ["decision", "_g"], "left")
+    return out.withColumn("group_id", F.concat(F.lit("rec_"), "_g")).drop("_g")
