@@ -149,7 +149,7 @@ def pairs_capped(spark, sf):
 
 @query("SELECT a.record_id AS left_id, b.record_id AS right_id FROM norm a JOIN norm b ON a.record_id < b.record_id AND ((a.clean_tc <> '' AND a.clean_tc = b.clean_tc) OR (a.clean_phone <> '' AND a.clean_phone = b.clean_phone) OR (a.email_normalized_key <> '' AND a.email_normalized_key = b.email_normalized_key) OR (a.name_phonetic_key <> '' AND a.name_phonetic_key = b.name_phonetic_key))")
 def pairs_linkage(spark, sf):
-    return B.bare_pairs(D.records(spark, sf), B.LINKAGE_PASSES).select(*IDS)
+    return B.uncapped_pairs(D.records(spark, sf), B.LINKAGE_PASSES)
 
 
 @query("SELECT left_id, right_id FROM (SELECT left_id, right_id FROM allpairs WHERE pass = 0 EXCEPT SELECT left_id, right_id FROM allpairs WHERE pass = 1) UNION SELECT left_id, right_id FROM (SELECT left_id, right_id FROM allpairs WHERE pass = 1 INTERSECT SELECT left_id, right_id FROM allpairs WHERE pass = 2)")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from mergewright.operators.features import pair_frame, review_features, rules_fe
 from mergewright.operators.graph import connected_components
 from mergewright.plans import donors as D
 from mergewright.plans import reports as Q
+from mergewright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["clean_tc", "clean_phone", "email_normalized_key", "clean_muhatap_no", "name_phonetic_key"]
@@ -123,6 +125,16 @@ def test_linkage_keeps_conflicts_uncertain(spark):
     assert linkage.predict(D.records(spark, SF).limit(0), linkage.Model.default()).count() == 0
 
 
+def test_uncapped_pairs_are_not_shuffled(spark, capsys):
+    rows = [(i, f"t{i % 4}" if i % 3 else " ", None if i % 5 == 0 else f"p{i % 7}", "", "S" if i < 40 else f"s{i % 9}") for i in [*range(60), 7, 7]]
+    r = spark.createDataFrame(rows, "record_id long, clean_tc string, clean_phone string, email_normalized_key string, name_phonetic_key string")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and any((x or "").strip() and x == y for x, y in zip(a[1:], b[1:])))
+    for most in (3, 1000):
+        assert sorted(map(tuple, B.uncapped_pairs(r, most=most).collect())) == want
+    QUERIES["pairs_linkage"](spark, SF).explain()
+    assert not re.search(r"hashpartitioning\((left|right)_id", capsys.readouterr().out)
+
+
 def test_forest(spark):
     r = D.records(spark, SF)
     f = rules_features(pair_frame(B.pairs(r), r))
