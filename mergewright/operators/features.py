@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,14 +32,15 @@ def _rules_scores(v: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
 
 
+@lru_cache(1 << 16)
+def _name_scores(lo: str, ro: str, ln: str, rn: str, lf: str, rf: str, ls: str, rs: str) -> tuple:
+    first, last, full = S.name_or_words(lf, rf), S.name_or_words(ls, rs), S.name_or_words(ln, rn)
+    return (first, last, first, last, S.words(lo, ro), full, 0.0, 0.0, 0.0, 0.0, 0.0, S.surname_conflict(lo, ro))
+
+
 @F.pandas_udf(_KIND)
 def _linkage_scores(v: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for lo, ro, ln, rn, lp, rp, le, re_, lk, rk, lf, rf, ls, rs in v.itertuples(index=False):
-        first, last, full = S.name_or_words(lf, rf), S.name_or_words(ls, rs), S.name_or_words(ln, rn)
-        mail = max(S.email(lk, rk) if lk and rk else 0.0, S.email(le, re_) if le and re_ else 0.0)
-        out.append((first, last, first, last, S.words(lo, ro), full, 0.0, S.phone(lp, rp), mail, 0.0, 0.0, S.surname_conflict(lo, ro)))
-    return pd.DataFrame(out, columns=[*SCORES, "surname_conflict"])
+    return pd.DataFrame([_name_scores(*x) for x in v.itertuples(index=False, name=None)], columns=[*SCORES, "surname_conflict"])
 
 
 @F.pandas_udf(_KIND)
@@ -124,9 +127,11 @@ def rules_features(pairs: DataFrame) -> DataFrame:
     return p.select("left_id", "right_id", *(c.alias(n) for n, c in out.items()))
 
 
-def linkage_features(pairs: DataFrame) -> DataFrame:
-    """The linkage model's 36 features: e-mails by key, names by words where either side has several."""
-    p = _scored(pairs, _names("ordered", "clean_name", "clean_phone", "clean_email", "email_normalized_key", "first_name", "last_name"), _linkage_scores)
+def linkage_features(pairs: DataFrame, keep=()) -> DataFrame:
+    """The linkage model's 36 features: e-mails by key, names by words where either side has several. keep: columns that stay. Names, phones and e-mails
+    are scored apart, so that what isn't asked for isn't worked out."""
+    p = _scored(pairs, _names("ordered", "clean_name", "first_name", "last_name"), _linkage_scores)
+    apart = {"phone_similarity": S.phone_sim(_v("left_clean_phone"), _v("right_clean_phone")), "email_similarity": F.greatest(*(S.email_sim(_v(f"left_{c}"), _v(f"right_{c}")) for c in ("email_normalized_key", "clean_email")))}
     first, last = F.col("s.first_name_similarity"), F.col("s.surname_similarity")
     phone, email, city = equal("clean_phone"), equal("email_normalized_key"), equal("clean_city")
     out = _int(
@@ -136,9 +141,9 @@ def linkage_features(pairs: DataFrame) -> DataFrame:
         email_present_both=both("clean_email") | both("email_normalized_key"), city_exact_match=city, city_match=city, name_present_both=both("clean_name"),
         first_name_exact_match=equal("first_name"), surname_exact_match=equal("last_name"), same_surname_name_conflict=F.col("s.surname_conflict"),
     )
-    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES if n not in ("email_username_similarity",)} | _edit_distance()
+    out |= _phonetics() | _contact_flags(first, last, phone, email) | {n: F.col(f"s.{n}") for n in SCORES if n not in ("email_username_similarity",)} | apart | _edit_distance()
     out |= {"name_jaro_winkler": F.col("s.name_similarity"), "common_non_empty_fields": _common("clean_tc", "clean_phone", "email_normalized_key", "clean_name", "clean_city", "clean_address", "clean_muhatap_no")}
-    return p.select("left_id", "right_id", *(c.alias(n) for n, c in out.items()))
+    return p.select("left_id", "right_id", *keep, *(c.alias(n) for n, c in out.items()))
 
 
 def review_features(pairs: DataFrame) -> DataFrame:
@@ -199,9 +204,13 @@ def field_comparisons(pairs: DataFrame, source: str = "admin_review") -> DataFra
 
 def pair_frame(found: DataFrame, records: DataFrame) -> DataFrame:
     """Pairs with their records' COLUMNS. clean_name_ordered, the name in its own order, is clean_name where records have no such column."""
+    return with_records(found, paired(records), [*COLUMNS, "name_plain"])
+
+
+def paired(records: DataFrame, *more: str) -> DataFrame:
+    """What pairs have of a record: record_id, COLUMNS and name_plain, cleaned, and more of its columns under _name as they are."""
     r = records if "clean_name_ordered" in records.columns else records.withColumn("clean_name_ordered", F.col("clean_name"))
-    r = r.select("record_id", *(text(c).alias(c) for c in COLUMNS)).withColumn("name_plain", name_form("clean_name"))
-    return with_records(found, r, [*COLUMNS, "name_plain"])
+    return r.select("record_id", *(text(c).alias(c) for c in COLUMNS), *(F.col(c).alias(f"_{c}") for c in more)).withColumn("name_plain", name_form("clean_name"))
 
 
 def exact_flags(pairs: DataFrame) -> DataFrame:

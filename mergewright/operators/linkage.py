@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.scoring import Features, confidence, decision, risk_flags, rule_reasons, review_name_band, weighted_breakdown
 from ..functions.similarity import jaro
 from ..plans.tables import cut
-from .blocking import LINKAGE_PASSES, bare_pairs, column_pairs
-from .features import both, linkage_features, pair_frame
+from .blocking import LINKAGE_PASSES, bare_pairs, blocks, dealt, meet
+from .features import COLUMNS, both, linkage_features, pair_frame, paired
+from .levels import counter, finder
 
 #: Field, column, thresholds of its similarity levels (none: equal or not).
 COMPARISONS = (("tc", "clean_tc", ()), ("phone", "clean_phone", ()), ("city", "clean_city", ()), ("phonetic", "name_phonetic_key", ()), ("name", "clean_name", (0.92, 0.80)), ("first", "first_name", (0.95, 0.85)), ("surname", "last_name", (0.95, 0.85)), ("email", "email_normalized_key", (0.90, 0.70)))
@@ -146,6 +147,61 @@ def prior(records: DataFrame, recall: float = RECALL) -> float:
     return min(0.5, max(1e-9, hit / recall / max(1.0, n * (n - 1) / 2)))
 
 
+def _cells(rows: DataFrame, key: str, columns) -> DataFrame:
+    """lefts, rights, alone: a block's parts as they meet, in about as many tasks as a million pairs or 50 000 rows each ask for."""
+    size = F.col("block_size")
+    pairs, held = blocks(rows, key).agg(F.coalesce(F.sum(size * size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    most = 10 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = dealt(rows, key, columns, most=512)[1]
+    met = meet(lists.withColumnRenamed("rows", "lefts"), lists.withColumnRenamed("rows", "rights"), min(most, 1 + max(pairs // 2_000_000, held // 50_000)))
+    return met.select("lefts", "rights", (F.col("lo") == F.col("hi")).alias("alone"))
+
+
+def block_patterns(records: DataFrame, key: str, comparisons=COMPARISONS) -> pd.DataFrame:
+    """patterns() of all pairs of rows with one value of a column, without a table of pairs."""
+    columns = list(dict.fromkeys(c for _, c, _ in comparisons))
+    fields = [f"g_{f}" for f, _, _ in comparisons]
+    counted = _cells(paired(records, key), f"_{key}", columns).mapInArrow(counter(comparisons, _winkler), ", ".join(f"{f} int" for f in fields) + ", n long")
+    return counted.groupBy(*fields).agg(F.sum("n").alias("n")).orderBy(*fields).toPandas()
+
+
+def _kept(spark, model: Model, threshold: float) -> bytes:
+    """A byte for each pattern of COMPARISONS: whether its pairs are kept."""
+    size = math.prod(len(cuts) + 3 for _, _, cuts in COMPARISONS)
+    at, step = {}, size
+    for f, _, cuts in COMPARISONS:
+        step //= len(cuts) + 3
+        at[f"g_{f}"] = (F.floor(F.col("id") / step) % (len(cuts) + 3) - 1).cast("int")
+    found = spark.range(size).withColumns(at).where((model.probability() >= threshold) | _same()).select("id").toPandas()
+    out = bytearray(size)
+    for i in found.id:
+        out[i] = 1
+    return bytes(out)
+
+
+def _same() -> Column:
+    return (F.col("g_tc") == 1) | (F.col("g_phone") == 1) | (F.col("g_email") == 3)
+
+
+def kept_pairs(records: DataFrame, model: Model, threshold: float, passes=LINKAGE_PASSES) -> DataFrame:
+    """The candidates that predict() keeps, with their levels and both sides' columns. Passes without caps make no table of all candidates: each leaves out
+    what a later one finds. Rows that share an id are then rows of their own."""
+    if any(cap is not None for _, cap in passes):
+        flat = levels(pair_frame(bare_pairs(records, passes), records))
+        return flat.where((model.probability() >= threshold) | _same())
+    keys = [key for key, _ in passes if key in records.columns]
+    rows, columns = cut(paired(records, *keys), "paired"), [*COLUMNS, "name_plain"]
+    kind = rows.schema["record_id"].dataType.simpleString()
+    sides = ", ".join(f"{s}_id {kind}, " + ", ".join(f"{s}_{c} string" for c in columns) for s in ("left", "right"))
+    kept, out = _kept(records.sparkSession, model, threshold), None
+    for i, key in enumerate(keys):
+        later = [f"_{k}" for k in keys[i + 1 :]]
+        cells = _cells(rows, f"_{key}", [*columns, *(F.when(F.trim(k) != "", F.col(k)).alias(k) for k in later)])
+        own = cells.mapInArrow(finder(later, COMPARISONS, _winkler, kept, columns), sides + "".join(f", g_{f} int" for f, _, _ in COMPARISONS))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def train(records: DataFrame, comparisons=COMPARISONS, seed: int = 42) -> Model:
     model = Model.default(comparisons)
     model.prior = prior(records)
@@ -157,7 +213,7 @@ def train(records: DataFrame, comparisons=COMPARISONS, seed: int = 42) -> Model:
             model.u[f] = _shares(counts, f, counts.n.astype(float), len(model.u[f]))
     told: dict[str, list[list[float]]] = {}
     for key, closed in (("clean_tc", ["tc"]), ("name_phonetic_key", ["phonetic", "name"])):
-        counts = by(column_pairs(records, key).select("left_id", "right_id"))
+        counts = block_patterns(records, key, comparisons)
         if len(counts):
             for f, m in em(counts, model, [f for f, _, _ in comparisons if f not in closed], closed[:1]).items():
                 told.setdefault(f, []).append(m)
@@ -170,13 +226,9 @@ def predict(records: DataFrame, model: Model | None = None, threshold: float = T
     """Candidates at or above the threshold, and those below that share tc, phone or e-mail key; conflicts are capped. Surest first where it matters: see ordered."""
     records = cut(records, "records")
     model = train(records) if model is None else model
-    found = bare_pairs(records, passes)
-    flat = cut(levels(pair_frame(found, records)), "levels")
-    scored = flat.withColumns({"match_weight": model.match_weight(), "match_probability": model.probability()})
-    same = (F.col("g_tc") == 1) | (F.col("g_phone") == 1) | (F.col("g_email") == 3)
-    scored = scored.where((F.col("match_probability") >= threshold) | same).withColumn("surfaced", F.col("match_probability") < threshold)
-    keep = scored.select("left_id", "right_id", "match_weight", "match_probability", "surfaced", *(f"g_{f}" for f, _, _ in COMPARISONS))
-    f = linkage_features(scored).join(keep, ["left_id", "right_id"])
+    scored = kept_pairs(records, model, threshold, passes).withColumns({"match_weight": model.match_weight(), "match_probability": model.probability()})
+    scored = scored.withColumn("surfaced", F.col("match_probability") < threshold)
+    f = linkage_features(scored, ["match_weight", "match_probability", "surfaced", *(f"g_{f}" for f, _, _ in COMPARISONS)])
     feats = Features.of(f)
     p = F.when(F.col("tc_conflict") == 1, F.least("match_probability", F.lit(TC_CAP))).when(F.col("muhatap_no_conflict") == 1, F.least("match_probability", F.lit(MUHATAP_CAP))).otherwise(F.col("match_probability"))
     f = f.withColumn("match_probability", p).withColumns({"decision": decision(F.col("match_probability")), "risk_flags": risk_flags(feats, "linkage"), "score": weighted_breakdown(feats, weights), "match_type": F.lit("splink"), "confidence": confidence(F.col("match_probability"), F.lit(None).cast("double"))})

@@ -1,12 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mergewright.operators import blocking as B
 from mergewright.operators import golden as G
-from mergewright.operators import linkage, matchers, review, training
+from mergewright.operators import levels, linkage, matchers, review, training
 from mergewright.operators import normalize as N
 from mergewright.operators.features import pair_frame, review_features, rules_features
 from mergewright.operators.graph import connected_components
@@ -135,6 +136,26 @@ def test_uncapped_pairs_are_not_shuffled(spark, capsys):
     assert not re.search(r"hashpartitioning\((left|right)_id", capsys.readouterr().out)
 
 
+def test_linkage_levels_by_block_are_those_of_pairs(spark, capsys):
+    r = D.records(spark, SF)
+    model = linkage.Model.default()
+    flat = linkage.levels(pair_frame(B.bare_pairs(r, B.LINKAGE_PASSES), r))
+    cols = ["left_id", "right_id", "left_clean_email", "right_last_name", *(f"g_{f}" for f, _, _ in linkage.COMPARISONS)]
+    want = flat.where((model.probability() >= 0.3) | linkage._same()).select(cols)
+    found = linkage.kept_pairs(r, model, 0.3)
+    assert sorted(map(tuple, found.select(cols).collect())) == sorted(map(tuple, want.collect()))
+    own = linkage.levels(pair_frame(B.column_pairs(r, "name_phonetic_key").select("left_id", "right_id"), r))
+    fields = [f"g_{f}" for f, _, _ in linkage.COMPARISONS]
+    counted = linkage.block_patterns(r, "name_phonetic_key")
+    assert sorted(map(tuple, linkage.patterns(own).select(*fields, "n").collect())) == sorted(counted[[*fields, "n"]].itertuples(index=False, name=None))
+    linkage.predict(r, model).explain()
+    assert not re.search(r"hashpartitioning\((left|right)_id", capsys.readouterr().out)
+    values = ["martha", "marhta", "u12@gmail.com", "u.21@example.com", "ü", "a" * 64, "ab" * 40]
+    x, y = zip(*((i, j) for i in range(7) for j in range(7)))
+    told = levels.reached(values, np.array(x), np.array(y), (0.9, 0.7), linkage._winkler)
+    assert told.tolist() == [sum(linkage._winkler(values[i], values[j]) >= t for t in (0.9, 0.7)) for i, j in zip(x, y)]
+
+
 def test_forest(spark):
     r = D.records(spark, SF)
     f = rules_features(pair_frame(B.pairs(r), r))
