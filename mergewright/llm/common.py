@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..plans.tables import cut, drop, drop_since, shared_dir  # noqa: F401
+from ..plans.tables import cut, drop, drop_since, shared_dir, shuffles_freed  # noqa: F401
 from ..plans.tables import tables as cut_tables  # noqa: F401
 
 #: What separates words in the contracts: space and the ASCII controls 9 to 13.

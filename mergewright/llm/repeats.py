@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, cut_tables, drop, drop_since, read, small_batches
+from .common import cut, cut_tables, drop, drop_since, read, shuffles_freed, small_batches
 from .shingles import _power_tables, mix
 from .suffix import BUDGET, PAD, scratch, sorted_suffixes
 
@@ -266,9 +266,10 @@ def repeated(texts: DataFrame) -> DataFrame:
     keyed = texts.select("h", "text")
     own = cut(anchors(keyed).select("h", F.explode("anchors").alias("anchor")), "anchors")
     again = own.groupBy("anchor").count().where("count > 1").select("anchor")
-    mine = own.distinct().join(again, "anchor", "left_semi").groupBy("h").agg(F.collect_list("anchor").alias("again"))
-    found = cut(pieces(keyed.join(mine, "h").select("h", "text", "again")), "pieces")
+    mine = cut(own.distinct().join(again, "anchor", "left_semi").groupBy("h").agg(F.collect_list("anchor").alias("again")), "again")
     drop(own)
+    found = cut(pieces(keyed.join(mine, "h").select("h", "text", "again")), "pieces")
+    drop(mine)
     found = spread(found)
     different = found.groupBy("anchor", "cid", "piece").agg(F.count("*").alias("n"))
     total = found.agg(F.sum(F.length("piece"))).first()[0] or 0
@@ -301,33 +302,34 @@ def without(raw: bytes, spans) -> bytes:
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes): one row for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text)).alias("h"), F.sha2(text, 256).alias("whole"))
-    base = cut(base, "texts")
-    rows = base.where(F.col("n_bytes") >= LENGTH).groupBy("h", "doc_id").agg(F.count("*").alias("n"))
-    classes = cut(rows.groupBy("h").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "n")).alias("rep")), "classes")
-    reps = classes.select(F.col("h").alias("h2"), F.col("rep.doc_id").alias("id2"))
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH).withColumn("h", F.unhex(F.md5("text")))
-    texts = mine.join(reps, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left_semi").select("h", "text")
-    if classes.where("rep.n > 1").take(1):
-        texts = texts.dropDuplicates(["h"])
-    texts = cut(texts, "text")
-    before = cut_tables()
-    spans = cut(repeated(texts), "spans")
-    drop_since(before, spans)
-
-    def run(batches):
-        for b in small_batches(batches, 1):
-            out = []
-            for h, t, s in zip(*(c.to_pylist() for c in b.columns)):
-                s = merged(s)
-                out.append((h, sum(y - x for x, y in s), len(s), hashlib.sha256(without(t.encode(), s)).hexdigest(), [{"start": x, "end": y} for x, y in s]))
-            if out:
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["h2", "removed", "parts", "sha", "spans"])
+    with shuffles_freed(docs.sparkSession):
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text)).alias("h"), F.sha2(text, 256).alias("whole"))
+        base = cut(base, "texts")
+        rows = base.where(F.col("n_bytes") >= LENGTH).groupBy("h", "doc_id").agg(F.count("*").alias("n"))
+        classes = cut(rows.groupBy("h").agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "n")).alias("rep")), "classes")
+        reps = classes.select(F.col("h").alias("h2"), F.col("rep.doc_id").alias("id2"))
+        mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH).withColumn("h", F.unhex(F.md5("text")))
+        texts = mine.join(reps, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left_semi").select("h", "text")
+        if classes.where("rep.n > 1").take(1):
+            texts = texts.dropDuplicates(["h"])
+        texts = cut(texts, "text")
+        before = cut_tables()
+        spans = cut(repeated(texts), "spans")
+        drop_since(before, spans)
+
+        def run(batches):
+            for b in small_batches(batches, 1):
+                out = []
+                for h, t, s in zip(*(c.to_pylist() for c in b.columns)):
+                    s = merged(s)
+                    out.append((h, sum(y - x for x, y in s), len(s), hashlib.sha256(without(t.encode(), s)).hexdigest(), [{"start": x, "end": y} for x, y in s]))
+                if out:
+                    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["h2", "removed", "parts", "sha", "spans"])
 
-    single = classes.where("copies = 1").select("h")
-    cutting = texts.join(spans.join(single, "h", "left_semi"), "h").select("h", "text", "spans")
-    some = cut(cutting.mapInArrow(run, "h2 binary, removed long, parts long, sha string, spans array<struct<start:int,end:int>>"), "removed")
+        single = classes.where("copies = 1").select("h")
+        cutting = texts.join(spans.join(single, "h", "left_semi"), "h").select("h", "text", "spans")
+        some = cut(cutting.mapInArrow(run, "h2 binary, removed long, parts long, sha string, spans array<struct<start:int,end:int>>"), "removed")
     out = base.join(some, F.col("h") == F.col("h2"), "left").join(classes.where("copies > 1").select(F.col("h").alias("h3")), F.col("h") == F.col("h3"), "left")
     all_ = F.col("h3").isNotNull()
     return out.select(

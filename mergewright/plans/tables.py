@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,19 @@ def cut(df: DataFrame, name: str = "cut", compression: str | None = None) -> Dat
     return out
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within it, the shuffle files of a query go when the query ends, not once the driver happens to collect its garbage. A frame made in here that is run
+    more than once shuffles each time."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _delete(path: str) -> None:
     spark = _written.pop(path, None)
     if spark is not None:
