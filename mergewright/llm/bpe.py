@@ -36,7 +36,9 @@ from .common import read, small_batches, tables
 
 MAX_MOVES = 500_000
 MAX_FITS = 300_000
-MAX_PIECES = 120_000
+MAX_PIECES = 500_000
+#: Moves of the decoder.
+MAX_STEPS = 120_000
 #: Bytes after which a piece is emitted in parts.
 WINDOW = 4096
 
@@ -216,20 +218,20 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Tokens by piece, of pieces up to 64 characters; when it is full, it starts anew and its last content helps out until it is full again."""
+    """What `make` gives for a piece, of pieces up to 64 characters; when it is full, it starts anew and its last content helps out until it is full again."""
 
-    def __init__(self, fst: Transducer):
+    def __init__(self, make):
         super().__init__()
-        self.fst, self.older = fst, {}
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece) or self.fst.encode(piece.encode())
+    def __missing__(self, piece: str) -> tuple:
+        got = self.older.get(piece) or self.make(piece)
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES // 2:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = got
+        return got
 
 
 class Encoder:
@@ -237,7 +239,10 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
-        self.pieces = Pieces(self.fst)
+        self.pieces = Pieces(self.tokens)
+
+    def tokens(self, piece: str) -> tuple[int, ...]:
+        return self.fst.encode(piece.encode())
 
     def __call__(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
@@ -277,7 +282,7 @@ class Decoder:
             for b in self.bytes_of[token]:
                 text, now = self.step(now, b)
                 out.append(text)
-            if len(self.table) > MAX_PIECES:
+            if len(self.table) > MAX_STEPS:
                 self.table.clear()
             got = self.table[key] = ("".join(out), now)
         return got
@@ -296,6 +301,28 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
+class Digester:
+    """Texts to what digest() tells of them. A piece ends with a whole character, so the decoder's state after each is the one it began with; what a piece's tokens
+    are and what they decode to is kept by piece."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.encoder, self.decoder = Encoder(ranks, pattern), Decoder(ranks)
+        self.names = {i: str(i) for i in self.decoder.bytes_of}
+        self.pieces = Pieces(self.both)
+
+    def both(self, piece: str) -> tuple[str, str]:
+        """The tokens' numbers, joined, and their text."""
+        ids = self.encoder.tokens(piece)
+        text = self.decoder.decode(ids)
+        return ",".join(map(self.names.__getitem__, ids)), piece if text == piece else text  # one string held, not two
+
+    def __call__(self, text: str) -> tuple[int, str, str]:
+        found = list(map(self.pieces.__getitem__, self.encoder.find(text)))
+        ids = ",".join([x for x, _ in found])
+        decoded = "".join([x for _, x in found])
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """One of each for a worker process."""
 
@@ -332,14 +359,10 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes, decodes and digests each text in one pass."""
 
     def run(batches):
-        encode, decoder = codec(path, pattern)
-        names: dict[int, str] = {i: str(i) for i in encode.fst.bytes_of}
-        for b in small_batches(batches, 1, (path, pattern)):
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text or "")
-                joined = ",".join(map(names.__getitem__, ids))
-                out.append((doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoder.decode(ids).encode()).hexdigest()))
+        key = (path, pattern, "digest")
+        told = tables(key, lambda: Digester(load_ranks(path), pattern))
+        for b in small_batches(batches, 1, key):
+            out = [(doc_id, *told(text or "")) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

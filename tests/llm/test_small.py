@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import islice, product
 
 import numpy as np
 import pandas as pd
@@ -504,6 +505,27 @@ def test_bpe_with_full_tables(monkeypatch):
         assert encode(text) == own.encode_ordinary(text)
 
 
+def test_bpe_makes_a_pieces_digests_once(monkeypatch):
+    """Pieces that come again are neither encoded nor decoded again, also when there are many, as in large inputs."""
+    import tiktoken
+
+    path, pattern = bpe.default_vocabulary()
+    ranks = bpe.load_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    told, r, calls = bpe.Digester(ranks, pattern), random.Random(3), Counter()
+    for of, name in ((bpe.Transducer, "encode"), (bpe.Decoder, "decode")):
+        monkeypatch.setattr(of, name, lambda self, x, f=getattr(of, name), name=name: calls.update([name]) or f(self, x))
+    words = [" " + "".join(x) for x in islice(product("abelmnorst", repeat=6), 0, None, 8)]
+    for _ in range(2):
+        told("".join(words))
+    assert calls == {"encode": len(words), "decode": len(words)} and len(words) == 125_000
+    for n in (500_000, 6):
+        monkeypatch.setattr(bpe, "MAX_PIECES", n)
+        for text in ["", "x", " 漢é🎉 ", *("".join(r.choice("ab é漢🎉012'sE .,\u0301\n") for _ in range(r.randint(1, 80))) for _ in range(300))]:
+            ids = own.encode_ordinary(text)
+            assert told(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def labelled(spark):
     r = random.Random(6)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
