@@ -27,6 +27,7 @@ import hashlib
 from array import array
 from itertools import accumulate, chain
 from operator import getitem
+from sys import getsizeof
 
 import pyarrow as pa
 import regex
@@ -34,9 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, small_batches, tables
 
-MAX_MOVES = 500_000
-MAX_FITS = 300_000
-MAX_PIECES = 500_000
+#: What a worker keeps at most. An executor has several workers, beside a JVM that earlier stages of a pipeline have filled.
+MAX_MOVES = 300_000
+MAX_FITS = 500_000
+MAX_PIECES = 300_000
+#: Bytes of pieces and of what is kept for them.
+MAX_HELD = 48 << 20
 #: Moves of the decoder.
 MAX_STEPS = 120_000
 #: Bytes after which a piece is emitted in parts.
@@ -60,12 +64,12 @@ def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class State(dict):
-    """Moves by byte, each made when first asked for. hypotheses: trie node * 2**20 + last token + 1 each; token: the one that ends the encoding of what
-    has been read."""
+    """Moves by byte, each made when first asked for. hypotheses: trie node * 2**20 + last token + 1 each, in 8 bytes; token: the one that ends the encoding
+    of what has been read."""
 
     __slots__ = ("fst", "hypotheses", "length", "token")
 
-    def __init__(self, fst: Transducer, hypotheses: tuple[int, ...], token: int = -1, length: int = 0):
+    def __init__(self, fst: Transducer, hypotheses: bytes, token: int = -1, length: int = 0):
         super().__init__()
         self.fst, self.hypotheses, self.token, self.length = fst, hypotheses, token, length
 
@@ -98,15 +102,15 @@ class Transducer:
                 node = down
             self.token_at[node] = rank
         self.edges: dict[int, tuple | None] = {}
-        self.fits: dict[int, bool] = {}
-        self.states: dict[tuple[int, ...], State] = {}
+        self.fits = array("q", [-1]) * MAX_FITS  # 2 * key + answer, the last one asked for of those that share a place
+        self.states: dict[bytes, State] = {}
         self.forget()
 
     def forget(self) -> None:
         for state in self.states.values():  # they point at one another
             state.clear()
-        self.start, self.made = State(self, (0,)), 0
-        self.states = {(0,): self.start}
+        self.start, self.made = State(self, bytes(8)), 0
+        self.states = {self.start.hypotheses: self.start}
 
     def sides(self, token: int) -> tuple | None:
         """What stands at a token's left and right end while it is merged, each as (bytes, rank of the merge that takes it up); None if
@@ -134,9 +138,8 @@ class Transducer:
         """Whether a token can follow another (or, -1, the start) in an encoding: no merge across the boundary comes before
         the merges that take up its two sides, and of equal ranks the leftmost merge comes first."""
         key = (last + 1) << 20 | token
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > MAX_FITS:
-                self.fits.clear()
+        at = key % len(self.fits)
+        if (known := self.fits[at]) >> 1 != key:
             b = self.sides(token)
             if b is None:
                 known = False
@@ -148,12 +151,13 @@ class Transducer:
                     known = not any((r := ranks.get(x + y)) is not None and r < p and r <= q for x, p in a[1] for y, q in b[0])
                 else:
                     known = merge(self.bytes_of[last] + self.bytes_of[token], ranks) == [last, token]
-            self.fits[key] = known
-        return known
+            self.fits[at] = key << 1 | known
+            return known
+        return bool(known & 1)
 
     def move(self, state: State, byte: int) -> State:
         kept, new, trie, token_at, inner = [], -1, self.trie, self.token_at, self.inner
-        for h in state.hypotheses:
+        for h in memoryview(state.hypotheses).cast("Q"):
             down = trie.get(h >> 20 << 8 | byte)
             if down is None:
                 continue
@@ -165,7 +169,7 @@ class Transducer:
         if new < 0:
             raise ValueError("the ranks are not those of a byte-level BPE")
         kept.append(new + 1)
-        to = tuple(kept)
+        to = array("Q", kept).tobytes()
         found = self.states.get(to)
         if found is None:
             found = self.states[to] = State(self, to, new, self.length[new])
@@ -214,7 +218,7 @@ class Transducer:
 
     def open_bytes(self, state: State) -> list[int]:
         """How many bytes each live hypothesis has read since its boundary; they stand in the state from the most to the fewest."""
-        return [self.depths[h >> 20] for h in state.hypotheses]
+        return [self.depths[h >> 20] for h in memoryview(state.hypotheses).cast("Q")]
 
 
 class Pieces(dict):
@@ -222,15 +226,17 @@ class Pieces(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.held = make, {}, 0
 
-    def __missing__(self, piece: str) -> tuple:
+    def __missing__(self, piece: str):
         got = self.older.get(piece) or self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES // 2:
-                self.older = dict(self)
+            size = getsizeof(piece) + getsizeof(got)
+            if len(self) >= MAX_PIECES // 2 or self.held + size > MAX_HELD // 2:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = got
+            self.held += size
         return got
 
 
@@ -308,18 +314,24 @@ class Digester:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoder, self.decoder = Encoder(ranks, pattern), Decoder(ranks)
         self.names = {i: str(i) for i in self.decoder.bytes_of}
-        self.pieces = Pieces(self.both)
+        self.pieces, self.differ = Pieces(self.both), False
 
-    def both(self, piece: str) -> tuple[str, str]:
-        """The tokens' numbers, joined, and their text."""
+    def both(self, piece: str) -> str | tuple[str, str]:
+        """The tokens' numbers, joined; their text too if it isn't the piece."""
         ids = self.encoder.tokens(piece)
-        text = self.decoder.decode(ids)
-        return ",".join(map(self.names.__getitem__, ids)), piece if text == piece else text  # one string held, not two
+        joined, text = ",".join(map(self.names.__getitem__, ids)), self.decoder.decode(ids)
+        if text == piece:
+            return joined
+        self.differ = True
+        return joined, text
 
     def __call__(self, text: str) -> tuple[int, str, str]:
-        found = list(map(self.pieces.__getitem__, self.encoder.find(text)))
-        ids = ",".join([x for x, _ in found])
-        decoded = "".join([x for _, x in found])
+        found = self.encoder.find(text)
+        told = list(map(self.pieces.__getitem__, found))
+        if self.differ:
+            found = [p if isinstance(x, str) else x[1] for p, x in zip(found, told)]
+            told = [x if isinstance(x, str) else x[0] for x in told]
+        ids, decoded = ",".join(told), "".join(found)
         return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 

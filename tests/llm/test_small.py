@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -526,6 +528,43 @@ def test_bpe_makes_a_pieces_digests_once(monkeypatch):
             assert told(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+GROWN = """
+import random, re, sys
+from mergewright.llm import bpe
+
+def mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon: +([0-9]+)", f.read())[1]) / 1024
+
+path, pattern = bpe.default_vocabulary()
+told, before, r = bpe.Digester(bpe.load_ranks(path), pattern), mb(), random.Random(4)
+for _ in range(300):
+    told(" ".join("".join(r.choices("abdeilmnorstuéü", k=r.randint(3, 9))) for _ in range(1000)))
+print(mb() - before)
+told = bpe.Digester(bpe.load_ranks(path), pattern)
+for _ in range(100):
+    told(" ".join("".join(r.choices("漢字水火", k=60)) for _ in range(1000)))
+held = [x for t in (told.pieces, told.pieces.older) for k, v in t.items() for x in (k, *(v if isinstance(v, tuple) else [v]))]
+print(sum(map(sys.getsizeof, held)) / 2**20)
+"""
+
+
+def test_bpe_tables_leave_room_for_the_executor():
+    """A worker that meets 300 000 words, or 100 000 long pieces, keeps what two workers beside a JVM of 2.2 GB can keep within 3 GB."""
+    words, long_pieces = map(float, subprocess.run([sys.executable, "-c", GROWN], check=True, capture_output=True, text=True).stdout.split())
+    assert words < 130 and long_pieces < 50
+
+
+def test_bpe_piece_that_decodes_to_something_else(monkeypatch):
+    """The digest is of what the tokens decode to, not of the text, also where the two differ."""
+    path, pattern = bpe.default_vocabulary()
+    told = bpe.Digester(bpe.load_ranks(path), pattern)
+    before = told("one two one")
+    monkeypatch.setattr(bpe.Decoder, "decode", lambda self, ids, f=bpe.Decoder.decode: f(self, ids).replace("thr", "THR"))
+    for _ in range(2):
+        assert told("one three two")[2] == hashlib.sha256(b"one THRee two").hexdigest() and told("one two one") == before
+
+
 def labelled(spark):
     r = random.Random(6)
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
