@@ -17,6 +17,7 @@ from ..functions.similarity import jaro
 from ..plans.tables import cut
 from .blocking import LINKAGE_PASSES, bare_pairs, blocks, dealt, meet
 from .features import COLUMNS, both, linkage_features, pair_frame, paired
+from .flags import BRIEF, FLAGS, briefs
 from .levels import counter, finder
 
 #: Field, column, thresholds of its similarity levels (none: equal or not).
@@ -27,6 +28,8 @@ U_PAIRS = 20_000
 EM_STEPS = 5
 #: Post-caps: no conflict of ids may look certain.
 TC_CAP, MUHATAP_CAP = 0.75, 0.85
+#: Rows of a block's part: parts meet two by two, so that a row goes out once for each part of its block.
+PART = 2048
 
 
 def _winkler(a: str, b: str) -> float:
@@ -147,34 +150,50 @@ def prior(records: DataFrame, recall: float = RECALL) -> float:
     return min(0.5, max(1e-9, hit / recall / max(1.0, n * (n - 1) / 2)))
 
 
-def _cells(rows: DataFrame, key: str, columns) -> DataFrame:
-    """lefts, rights, alone: a block's parts as they meet, in about as many tasks as a million pairs or 50 000 rows each ask for."""
-    size = F.col("block_size")
-    pairs, held = blocks(rows, key).agg(F.coalesce(F.sum(size * size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
-    most = 10 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = dealt(rows, key, columns, most=512)[1]
-    met = meet(lists.withColumnRenamed("rows", "lefts"), lists.withColumnRenamed("rows", "rights"), min(most, 1 + max(pairs // 2_000_000, held // 50_000)))
+def _cells(rows: DataFrame, key: str, columns, most: int = PART, alike: str = "email_normalized_key") -> DataFrame:
+    """lefts, rights, alone: a block's parts as they meet, in about as many tasks as two million pairs or 50 000 rows each ask for. Rows of one value of
+    `alike` come into one part, so that its similarities are told once there, unless the block has many of them."""
+    size, by = F.col("block_size"), None
+    pairs, held, largest = blocks(rows, key).agg(F.coalesce(F.sum(size * size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0)), F.max(size)).first()
+    tasks = 10 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if largest and largest > most:
+        common = rows.where(F.col(alike) != "").groupBy(key, alike).count().where(F.col("count") > most // 32).select(key, alike, F.lit(True).alias("_common"))
+        own = F.when(F.col("_common") | (F.col(alike) == ""), F.col("record_id").cast("string")).otherwise(F.col(alike))
+        rows, by = rows.join(common, [key, alike], "left").withColumn("_by", own).drop("_common"), "_by"
+    lists = dealt(rows, key, columns, most=most, by=by)[1]
+    met = meet(lists.withColumnRenamed("rows", "lefts"), lists.withColumnRenamed("rows", "rights"), min(tasks, 1 + max(pairs // 4_000_000, held // 50_000)))
     return met.select("lefts", "rights", (F.col("lo") == F.col("hi")).alias("alone"))
 
 
 def block_patterns(records: DataFrame, key: str, comparisons=COMPARISONS) -> pd.DataFrame:
-    """patterns() of all pairs of rows with one value of a column, without a table of pairs."""
+    """patterns() of all pairs of rows with one value of a column, without a table of pairs. records may have been through paired() with the column."""
     columns = list(dict.fromkeys(c for _, c, _ in comparisons))
     fields = [f"g_{f}" for f, _, _ in comparisons]
-    counted = _cells(paired(records, key), f"_{key}", columns).mapInArrow(counter(comparisons, _winkler), ", ".join(f"{f} int" for f in fields) + ", n long")
+    rows = records if f"_{key}" in records.columns else cut(paired(records, key), "paired")
+    counted = _cells(rows, f"_{key}", columns).mapInArrow(counter(comparisons, _winkler), ", ".join(f"{f} int" for f in fields) + ", n long")
     return counted.groupBy(*fields).agg(F.sum("n").alias("n")).orderBy(*fields).toPandas()
 
 
-def _kept(spark, model: Model, threshold: float) -> bytes:
-    """A byte for each pattern of COMPARISONS: whether its pairs are kept."""
+def _own(records: DataFrame) -> DataFrame:
+    """records as a table of our own, made once."""
+    return records if hasattr(records, "_cut_path") else cut(records, "records")
+
+
+def _patterns(spark) -> DataFrame:
+    """id and g_ columns of all patterns of COMPARISONS."""
     size = math.prod(len(cuts) + 3 for _, _, cuts in COMPARISONS)
     at, step = {}, size
     for f, _, cuts in COMPARISONS:
         step //= len(cuts) + 3
         at[f"g_{f}"] = (F.floor(F.col("id") / step) % (len(cuts) + 3) - 1).cast("int")
-    found = spark.range(size).withColumns(at).where((model.probability() >= threshold) | _same()).select("id").toPandas()
-    out = bytearray(size)
-    for i in found.id:
+    return spark.range(size).withColumns(at)
+
+
+def _kept(spark, model: Model, threshold: float) -> bytes:
+    """A byte for each pattern of COMPARISONS: whether its pairs are kept."""
+    found = _patterns(spark)
+    out = bytearray(found.count())
+    for i in found.where((model.probability() >= threshold) | _same()).select("id").toPandas().id:
         out[i] = 1
     return bytes(out)
 
@@ -183,37 +202,64 @@ def _same() -> Column:
     return (F.col("g_tc") == 1) | (F.col("g_phone") == 1) | (F.col("g_email") == 3)
 
 
-def kept_pairs(records: DataFrame, model: Model, threshold: float, passes=LINKAGE_PASSES) -> DataFrame:
+def _met(records: DataFrame, passes, columns, find, kind: str, most: int) -> DataFrame:
+    """What find(later keys) gives for the cells of each pass; a pass leaves out what a later one finds."""
+    keys = [key for key, _ in passes if key in records.columns]
+    rows, out = cut(paired(records, *keys), "paired"), None
+    for i, key in enumerate(keys):
+        later = [f"_{k}" for k in keys[i + 1 :]]
+        cells = _cells(rows, f"_{key}", [*columns, *(F.when(F.trim(k) != "", F.col(k)).alias(k) for k in later)], most)
+        own = cells.mapInArrow(find(later), kind)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def kept_pairs(records: DataFrame, model: Model, threshold: float, passes=LINKAGE_PASSES, most: int = PART) -> DataFrame:
     """The candidates that predict() keeps, with their levels and both sides' columns. Passes without caps make no table of all candidates: each leaves out
     what a later one finds. Rows that share an id are then rows of their own."""
     if any(cap is not None for _, cap in passes):
         flat = levels(pair_frame(bare_pairs(records, passes), records))
         return flat.where((model.probability() >= threshold) | _same())
-    keys = [key for key, _ in passes if key in records.columns]
-    rows, columns = cut(paired(records, *keys), "paired"), [*COLUMNS, "name_plain"]
-    kind = rows.schema["record_id"].dataType.simpleString()
+    columns, kind = [*COLUMNS, "name_plain"], records.schema["record_id"].dataType.simpleString()
     sides = ", ".join(f"{s}_id {kind}, " + ", ".join(f"{s}_{c} string" for c in columns) for s in ("left", "right"))
-    kept, out = _kept(records.sparkSession, model, threshold), None
-    for i, key in enumerate(keys):
-        later = [f"_{k}" for k in keys[i + 1 :]]
-        cells = _cells(rows, f"_{key}", [*columns, *(F.when(F.trim(k) != "", F.col(k)).alias(k) for k in later)])
-        own = cells.mapInArrow(finder(later, COMPARISONS, _winkler, kept, columns), sides + "".join(f", g_{f} int" for f, _, _ in COMPARISONS))
-        out = own if out is None else out.unionByName(own)
-    return out
+    kept = _kept(records.sparkSession, model, threshold)
+    return _met(records, passes, columns, lambda later: finder(later, COMPARISONS, _winkler, kept, columns), sides + "".join(f", g_{f} int" for f, _, _ in COMPARISONS), most)
+
+
+def brief(records: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, passes=LINKAGE_PASSES, digits: int | None = None, most: int = PART) -> DataFrame:
+    """left_id, right_id, match_probability (rounded to so many digits), surfaced, decision and flags (risk_flags, joined by commas) of predict(). Without caps,
+    no pair's other columns are made: the probability goes by its pattern, the flags by pattern, by names that meet and by what both sides have."""
+    rounded = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    if any(cap is not None for _, cap in passes):
+        out = predict(records, model, threshold, passes)
+        return out.select("left_id", "right_id", rounded(F.col("match_probability")).alias("match_probability"), "surfaced", "decision", F.array_join("risk_flags", ",").alias("flags"))
+    records = _own(records)
+    model = train(records) if model is None else model
+    table = _patterns(records.sparkSession).withColumns({"p": model.probability(), "k": model.probability() >= threshold}).select(
+        (F.col("k") | _same()).alias("kept"), (~F.col("k")).alias("surfaced"), *(rounded(c).alias(f"p{i}") for i, c in enumerate((F.col("p"), F.least("p", F.lit(TC_CAP)), F.least("p", F.lit(MUHATAP_CAP))))),
+        *((F.col(f"g_{f}") == g).alias(f"{f}_{n}") for f, g, n in (("tc", 1, "same"), ("tc", 0, "differs"), ("phone", 1, "same"), ("email", 3, "same"), ("city", 1, "same"))), "id",
+    ).orderBy("id").toPandas()
+    kind = records.schema["record_id"].dataType.simpleString()
+    find = lambda later: briefs(later, COMPARISONS, _winkler, table)
+    found = _met(records, passes, BRIEF, find, f"left_id {kind}, right_id {kind}, match_probability double, surfaced boolean, flags int", most)
+    texts = F.array(*(F.lit(",".join(n for i, n in enumerate(FLAGS) if x >> i & 1)) for x in range(1 << len(FLAGS))))
+    return found.select("left_id", "right_id", "match_probability", "surfaced", decision(F.col("match_probability")).alias("decision"), F.get(texts, F.col("flags")).alias("flags"))
 
 
 def train(records: DataFrame, comparisons=COMPARISONS, seed: int = 42) -> Model:
     model = Model.default(comparisons)
+    records = _own(records)
     model.prior = prior(records)
-    records = cut(records, "records")
     by = lambda found: patterns(levels(pair_frame(found, records), comparisons), comparisons).toPandas()
     counts = by(random_pairs(records, U_PAIRS, seed))
     if len(counts):
         for f, _, _ in comparisons:
             model.u[f] = _shares(counts, f, counts.n.astype(float), len(model.u[f]))
     told: dict[str, list[list[float]]] = {}
-    for key, closed in (("clean_tc", ["tc"]), ("name_phonetic_key", ["phonetic", "name"])):
-        counts = block_patterns(records, key, comparisons)
+    passes = (("clean_tc", ["tc"]), ("name_phonetic_key", ["phonetic", "name"]))
+    rows = cut(paired(records, *(key for key, _ in passes)), "paired")
+    for key, closed in passes:
+        counts = block_patterns(rows, key, comparisons)
         if len(counts):
             for f, m in em(counts, model, [f for f, _, _ in comparisons if f not in closed], closed[:1]).items():
                 told.setdefault(f, []).append(m)
@@ -224,7 +270,7 @@ def train(records: DataFrame, comparisons=COMPARISONS, seed: int = 42) -> Model:
 
 def predict(records: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, passes=LINKAGE_PASSES, weights=None) -> DataFrame:
     """Candidates at or above the threshold, and those below that share tc, phone or e-mail key; conflicts are capped. Surest first where it matters: see ordered."""
-    records = cut(records, "records")
+    records = _own(records)
     model = train(records) if model is None else model
     scored = kept_pairs(records, model, threshold, passes).withColumns({"match_weight": model.match_weight(), "match_probability": model.probability()})
     scored = scored.withColumn("surfaced", F.col("match_probability") < threshold)

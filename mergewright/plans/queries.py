@@ -270,8 +270,7 @@ def prior_lambda(spark, sf):
 
 @query()
 def linkage_predictions(spark, sf):
-    out = linkage.predict(D.records(spark, sf))
-    return out.select(*IDS, F.round("match_probability", 6).alias("match_probability"), "surfaced", "decision", F.array_join("risk_flags", ",").alias("flags"))
+    return linkage.brief(D.records(spark, sf, dealt=True), digits=6)
 
 
 @query("SELECT record_id, group_id FROM comp")

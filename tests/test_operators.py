@@ -156,6 +156,27 @@ def test_linkage_levels_by_block_are_those_of_pairs(spark, capsys):
     assert told.tolist() == [sum(linkage._winkler(values[i], values[j]) >= t for t in (0.9, 0.7)) for i, j in zip(x, y)]
 
 
+def test_linkage_brief_is_predict(spark):
+    """By grids of a block's parts, against the pairs one by one: a cap that nothing reaches takes that way."""
+    pick, columns = random.Random(5).choice, linkage.COLUMNS
+    rows = []
+    for i in range(230):
+        first, last = pick(["AHMET", "AHMED", "A", "AYSE"]), pick(["YILMAZ", "YILMAS", "KAYA"])
+        mail = pick(["", "ü", f"{pick('abc')}{i % 40}@gmail.com", f"{pick('abc')}.{i % 90}@example.com", pick("ab") * 70])
+        values = {"clean_name": f"{first} {last}" if i % 9 else "", "clean_name_ordered": "", "clean_tc": pick(["", str(i % 50)]), "clean_phone": pick(["", str(i % 60)]), "clean_email": mail, "email_normalized_key": mail.replace(".", ""), "clean_city": pick(["", "IZMIR", "BURSA"])}
+        values |= {"clean_address": pick(["", "X"]), "clean_muhatap_no": pick(["", f"M{i % 3}"]), "name_phonetic_key": "A545" if i % 20 else "K", "name_metaphone_key": "", "first_name": first if i % 9 else "", "last_name": last if i % 9 else ""}
+        rows.append((i, *(values[c] for c in columns)))
+    r = spark.createDataFrame(rows, "record_id long, " + ", ".join(f"{c} string" for c in columns)).localCheckpoint()
+    model = linkage.Model.default()
+    model.prior = 0.05
+    want = sorted(map(tuple, linkage.brief(r, model, passes=[(k, 10**6) for k, _ in B.LINKAGE_PASSES], digits=6).collect()))
+    assert {f for x in want for f in x[5].split(",")} >= {"email_high_identity_weak", "household_risk", "same_surname_name_conflict", "cross_city_contact_mismatch", "sparse_data", "weak_identity_evidence"}
+    for most in (150, 1000):
+        assert sorted(map(tuple, linkage.brief(r, model, digits=6, most=most).collect())) == want
+    a, b = ["ab", "ü", "a" * 65, "martha", "abcabd"], ["ü", "marhta", "a" * 66, "bacdba", "ab"]
+    assert levels.grid(a, b, (0.9, 0.7), linkage._winkler).tolist() == [[sum(linkage._winkler(x, y) >= t for t in (0.9, 0.7)) for y in b] for x in a]
+
+
 def test_forest(spark):
     r = D.records(spark, SF)
     f = rules_features(pair_frame(B.pairs(r), r))
